@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys
 from millrace.llm.frequency import value_frequencies
+from millrace.llm.leakage import leaked_items
+from millrace.llm.packing import fill_report, pack_texts, text_lengths
+from millrace.llm.reading import reading_levels
 from millrace.llm.sets import Overlap, set_links, similar_sets
 from millrace.llm.topn import skipping, top_n
 from millrace.session import table
@@ -56,6 +59,38 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_package_frequency(spark, root).where("mark is not null").select("ecosystem", "package_name", "mark")
 
 
+def _lengths(spark: SparkSession, root: str) -> DataFrame:
+    return text_lengths(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p6_pack_contexts(spark: SparkSession, root: str) -> DataFrame:
+    packed = pack_texts(_lengths(spark, root), table(spark, root, "pack_budget"), "budget_id", "capacity_tokens", "reserved_tokens")
+    return packed.withColumnsRenamed({"budget": "budget_id", "doc": "doc_id"})
+
+
+def p6_fill_report(spark: SparkSession, root: str) -> DataFrame:
+    return fill_report(pack_texts(_lengths(spark, root), table(spark, root, "pack_budget"), "budget_id", "capacity_tokens", "reserved_tokens"))
+
+
+def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with the items that leaked into them and the longest run of each."""
+    return leaked_items(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_item"), "doc_id", "text", "item_id", ["passage", "question"])
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return p7_leaks(spark, root).select("doc_id", "item_id")
+
+
+def p8_reading(spark: SparkSession, root: str) -> DataFrame:
+    """Counts, grade and level of every document."""
+    docs, ratings = table(spark, root, "documents", "doc_id", "text"), table(spark, root, "reading_label", "doc_id", "level")
+    return reading_levels(docs, "doc_id", "text", ratings, "doc_id", "level").withColumnRenamed("doc", "doc_id")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_reading(spark, root).select("doc_id", "level")
+
+
 _ECO = keys.sql_ecosystem("ecosystem")
 _USABLE = f"""usable AS (SELECT * FROM (
   SELECT repo_id, {_ECO} AS ecosystem, {keys.sql_package(_ECO, 'package_name')} AS package_name FROM dependency
@@ -76,6 +111,12 @@ QUERIES = {
     "p3_skipping": p3_skipping,
     "p4_found": p4_found,
     "p4_package_frequency": p4_package_frequency,
+    "p6_pack_contexts": p6_pack_contexts,
+    "p6_fill_report": p6_fill_report,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_reading": p8_reading,
 }
 SQL = {
     "p1_found": f"{_P1_SQL} SELECT ra AS repo_id_a, rb AS repo_id_b FROM pair",
