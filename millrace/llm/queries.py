@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import keys
+from millrace.llm.clusters import alike_groups, centroid_distances, hashed_features, kmeans, typical
 from millrace.llm.frequency import value_frequencies
 from millrace.llm.leakage import leaked_items
 from millrace.llm.packing import fill_report, pack_texts, text_lengths
 from millrace.llm.reading import reading_levels
 from millrace.llm.sets import Overlap, set_links, similar_sets
 from millrace.llm.topn import skipping, top_n
-from millrace.session import table
+from millrace.session import saved, table
 
 
 def _usable(spark: SparkSession, root: str) -> DataFrame:
@@ -59,6 +60,44 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return p4_package_frequency(spark, root).where("mark is not null").select("ecosystem", "package_name", "mark")
 
 
+def _cluster_members(spark: SparkSession, root: str) -> DataFrame:
+    """record_id, member: the non-null member ids of every cluster record."""
+    c = table(spark, root, "clusters", "record_id", "members")
+    return c.select("record_id", F.explode("members.id").alias("member")).where("member is not null")
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return alike_groups(_cluster_members(spark, root), "record_id", "member")
+
+
+def p5_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Each group with its size, usual keeper, most frequent members and the records nearest its centroid."""
+    members = _cluster_members(spark, root)
+    groups = saved(alike_groups(members, "record_id", "member"), "groups")
+    near = typical(centroid_distances(hashed_features(members, "record_id", "member"), groups, "record_id", "group_key"), "group_key", "record_id", "distance")
+    keepers = table(spark, root, "clusters", "record_id", "keeper").select("record_id", F.col("keeper.id").alias("member")).where("member is not null")
+
+    def usual(rows: DataFrame, name: str, n: int) -> DataFrame:
+        """The n ids that most records of a group have, ties to the lower id."""
+        counts = rows.distinct().join(groups, "record_id").groupBy("group_key", "member").agg(F.count("*").alias("k"))
+        best = typical(counts.withColumn("rank", -F.col("k")), "group_key", "member", "rank", n)
+        return best.select("group_key", F.col("typical").alias(name))
+
+    return (
+        near.withColumnRenamed("typical", "typical_records")
+        .join(usual(keepers, "keepers", 1), "group_key", "left")
+        .join(usual(members, "typical_members", 5), "group_key", "left")
+        .select("group_key", "size", F.element_at("keepers", 1).alias("keeper"), "typical_members", "typical_records")
+    )
+
+
+def p5_kmeans(spark: SparkSession, root: str, k: int = 256) -> DataFrame:
+    """All records in at most k clusters, each with its size, spread and the records nearest its centroid."""
+    assigned = saved(kmeans(hashed_features(_cluster_members(spark, root), "record_id", "member"), k), "assigned")
+    spread = assigned.groupBy("cluster").agg(F.sqrt(F.avg(F.col("distance"))).alias("spread"))
+    return typical(assigned, "cluster", "record", "distance").join(spread, "cluster")
+
+
 def _lengths(spark: SparkSession, root: str) -> DataFrame:
     return text_lengths(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -111,6 +150,9 @@ QUERIES = {
     "p3_skipping": p3_skipping,
     "p4_found": p4_found,
     "p4_package_frequency": p4_package_frequency,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
+    "p5_kmeans": p5_kmeans,
     "p6_pack_contexts": p6_pack_contexts,
     "p6_fill_report": p6_fill_report,
     "p7_found": p7_found,
@@ -130,4 +172,15 @@ SELECT repo_id, class_id, copies, coalesce(n, 0) AS links FROM bag JOIN class US
     FROM kin WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND id <> neighbour_id) WHERE k = 1) WHERE place <= 5""",
     "p4_found": f"{_P4_SQL} SELECT ecosystem, package_name, mark FROM marked WHERE mark IS NOT NULL",
     "p4_package_frequency": f"{_P4_SQL} SELECT ecosystem, package_name, occurrences, records, mark FROM marked",
+    "p5_found": """WITH RECURSIVE item AS (SELECT DISTINCT record_id AS r, m.id AS k FROM (SELECT record_id, unnest(members) AS m FROM clusters) WHERE m.id IS NOT NULL),
+size AS (SELECT r, count(*) AS n FROM item GROUP BY 1 HAVING count(*) >= 2),
+half AS (SELECT a.r AS x, b.r AS y FROM item a JOIN item b ON a.k = b.k AND a.r < b.r GROUP BY 1, 2
+  HAVING 2 * count(*) >= (SELECT n FROM size WHERE size.r = a.r) + (SELECT n FROM size WHERE size.r = b.r) - count(*)),
+alike AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+deg AS (SELECT x, count(*) AS d FROM alike GROUP BY 1),
+hold AS (SELECT x, y FROM half WHERE EXISTS (SELECT 1 FROM alike p JOIN alike q ON p.y = q.y WHERE p.x = half.x AND q.x = half.y)
+  OR ((SELECT d FROM deg WHERE deg.x = half.x) = 1 AND (SELECT d FROM deg WHERE deg.x = half.y) = 1)),
+edge AS (SELECT x, y FROM hold UNION ALL SELECT y, x FROM hold),
+reach AS (SELECT x AS r, x AS k FROM edge UNION SELECT reach.r, edge.y FROM reach JOIN edge ON edge.x = reach.k)
+SELECT r AS record_id, min(k) AS group_key FROM reach GROUP BY 1""",
 }
