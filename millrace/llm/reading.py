@@ -256,15 +256,18 @@ OWN_RATINGS = 60
 
 
 def fit_cuts(grade: np.ndarray, level: np.ndarray, levels: int) -> np.ndarray:
-    """Cuts between successive levels with the fewest rated documents on the wrong side; never falling."""
+    """Cuts between successive levels with the fewest rated documents on the wrong side; never falling.
+
+    A level that no rating reaches, at either end, is never given.
+    """
     order = np.argsort(grade, kind="stable")
-    g, out = grade[order], []
+    g, out = np.concatenate([[-np.inf], grade[order], [np.inf]]), []
     for k in range(1, levels):
         above = level[order] > k
         wrong = np.concatenate([[0], np.cumsum(above)]) + (~above).sum() - np.concatenate([[0], np.cumsum(~above)])
         best = np.flatnonzero(wrong == wrong.min())
         i = best[len(best) // 2]
-        out.append((g[max(i - 1, 0)] + g[min(i, len(g) - 1)]) / 2)
+        out.append((g[i] + g[i + 1]) / 2)
     return np.maximum.accumulate(np.array(out))
 
 
