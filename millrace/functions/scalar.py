@@ -239,7 +239,7 @@ EFFECTS = [
 
 def effect(receiver: Column) -> Column:
     """The kind of side effect of a call by its receiver text; null for none or for over 200 characters."""
-    return F.when(F.length(receiver) <= 200, first_match(F.lower(receiver), EFFECTS))
+    return F.when(F.length(receiver) <= 200, first_match(F.lower(receiver), [(p, n) for n, p in EFFECTS]))
 
 
 def import_root(name: Column) -> Column:

@@ -135,12 +135,12 @@ def duplicated_windows(spark: SparkSession, root: str, lines: int = 6, least: in
 def shared_value_suppression(spark: SparkSession, root: str) -> DataFrame:
     """F8, I8: configured values that look real and stand in fewer than three records, whatever the order.
 
-    Values are hashes of event properties; the first pass counts the
-    records that share a value, the second judges it.
+    Values are hashes of what happened in an hour; the first pass counts the users that share a
+    value, the second judges it.
     """
-    e = table(spark, root, "events", "user_id", "props").select("user_id", F.sha1(F.coalesce("props", F.lit(""))).alias("value"))
-    shared = e.groupBy(text.value_key(F.col("value")).alias("key")).agg(F.count_distinct("user_id").alias("shared"), F.first("value").alias("value"))
-    return shared.where(text.looks_real(F.col("value"), F.col("shared"))).select("key", "shared")
+    e = table(spark, root, "events", "user_id", "event_type", "ts").select("user_id", F.sha1(F.concat("event_type", F.date_format("ts", "yyyy-MM-dd HH"))).alias("value"))
+    shared = e.groupBy("value").agg(F.count_distinct("user_id").alias("shared"))
+    return shared.where(text.looks_real(F.col("value"), F.col("shared")))
 
 
 def links_of_titles(spark: SparkSession, root: str) -> DataFrame:
@@ -181,6 +181,7 @@ QUERIES = {
     )
 }
 SQL = {
+    "shared_value_suppression": "WITH v AS (SELECT sha1(event_type || strftime(ts, '%Y-%m-%d %H')) AS value, count(DISTINCT user_id) AS shared FROM events GROUP BY 1), c AS (SELECT value, unnest(string_split(value, '')) AS c FROM v), e AS (SELECT value, -sum(n / 40.0 * log2(n / 40.0)) AS h FROM (SELECT value, c, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1) SELECT value, shared FROM v JOIN e USING (value) WHERE h >= 3.5 AND shared < 3",
     "inverted_index_df": f"WITH {_POST} SELECT token, count(*) AS df FROM post GROUP BY 1 HAVING count(*) <= 0.4 * (SELECT count(*) FROM documents)",
     "token_search": f"WITH {_POST} SELECT doc_id, count(*) AS hits FROM post WHERE token IN ('lockfile', 'parser', 'workflow', 'audit', 'plugin') GROUP BY 1 HAVING count(*) >= 2",
     "posting_intersect": f"WITH {_POST} SELECT doc_id FROM post WHERE token IN ('cache', 'manifest', 'nightly') GROUP BY 1 HAVING count(*) = 3",
