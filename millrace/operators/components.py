@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import saved
+from millrace.session import release, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     now = saved(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before: tuple = ()
     for _ in range(rounds):
-        now = saved(_small_star(_large_star(now)), "components")
+        last, now = now, saved(_small_star(_large_star(now)), "components")
+        release(last)
         # The set of edges no longer changes once every edge joins a node with its root.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:

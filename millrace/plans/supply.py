@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import keys, scalar
 from millrace.operators import relational
 from millrace.operators.skew import lookup_join
-from millrace.session import table
+from millrace.session import saved, table
 
 
 def dependencies(spark: SparkSession, root: str) -> DataFrame:
@@ -44,7 +44,7 @@ def repo_packages(spark: SparkSession, root: str) -> DataFrame:
 
 def _met(spark: SparkSession, root: str) -> DataFrame:
     """affected x dependency on (ecosystem, package): a package in half of all repositories meets a broadcast."""
-    deps = repo_packages(spark, root)
+    deps = saved(repo_packages(spark, root), "repo-packages")
     n = deps.groupBy("ecosystem", "package_name").agg(F.count("*").alias("n"))
     # The join multiplies rows on the affected side, so its list per package is one dimension row.
     listed = affected(spark, root).groupBy("ecosystem", "package_name").agg(F.collect_set("osv_id").alias("ids"))

@@ -6,10 +6,12 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_paths: dict[int, str] = {}
 
 
 def local_session(cpus: int = 8, shuffle: int = 8, **conf: str) -> SparkSession:
@@ -74,7 +76,17 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove what ``saved`` wrote for ``df``, once nothing still to run reads it."""
+    path = _paths.pop(id(df), None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def cpus() -> int:
