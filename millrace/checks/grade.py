@@ -111,7 +111,9 @@ def grade(signals: DataFrame, findings: DataFrame) -> DataFrame:
     """``repo_id, profile, score, letter, next, partial, axes``; axes run from the worst to the best."""
     rows = axis_scores(signals, findings)
     axes = F.sort_array(F.collect_list(F.struct("score", (-F.col("weight")).alias("w"), "axis", "weight", "partial", "charged")))
-    total = round1(F.sum(F.col("score") * (F.col("weight") / 100)))
+    # Scores and weights are whole tenths, so the weighted sum is exact in whole numbers, in any order.
+    tenths = lambda c: F.round(F.col(c) * 10).cast("long")
+    total = F.floor(F.sum(tenths("score") * tenths("weight")) / 1000 + 0.5) / 10
     out = rows.groupBy("repo_id", "profile").agg(total.alias("score"), F.max("partial").alias("partial"), axes.alias("axes"))
     return out.select("repo_id", "profile", "score", letter(F.col("score")).alias("letter"), next_step(F.col("score")).alias("next"), "partial", F.transform("axes", lambda x: x.dropFields("w")).alias("axes"))
 
