@@ -116,9 +116,8 @@ def value_frequencies(rows: DataFrame, record: str, values: list[str], rare_belo
     can skew. Values get their numbers by a join in which heavy values are broadcast; then only
     arrays are shuffled: ``held`` at a time by each task, summed where their range lives.
     """
-    given = rows.select(F.col(record).alias("record"), *values).where(F.col(record).isNotNull())
-    for v in values:
-        given = given.where(F.col(v).isNotNull())
+    names, values = values, [f"_value{i}" for i in range(len(values))]
+    given = rows.select(F.col(record).alias("record"), *[F.col(n).alias(v) for n, v in zip(names, values)]).where(F.col("record").isNotNull()).dropna(subset=values)
     pairs = saved(given.groupBy("record", *values).agg(F.count("*").alias("n")), "value-pairs")
     terms = dictionary(pairs.groupBy(*values).agg(F.count("*").alias("pairs")), values)
     encoded = lookup_join(pairs.select(*values, "n"), terms, values, "pairs", pairs.count()).select("term_no", "n")
@@ -128,4 +127,4 @@ def value_frequencies(rows: DataFrame, record: str, values: list[str], rare_belo
     summed = blocks.repartition(width, "range_no").mapInArrow(_sum_arrays, "term_no long, occurrences long, records long")
     everyone = pairs.select("record").distinct().count()
     mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.lit(common_share) * everyone, "common")
-    return summed.join(terms.drop("pairs"), "term_no").select(*values, "occurrences", "records", mark.alias("mark"))
+    return summed.join(terms.drop("pairs"), "term_no").select(*[F.col(v).alias(n) for n, v in zip(names, values)], "occurrences", "records", mark.alias("mark"))

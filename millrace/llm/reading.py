@@ -168,15 +168,16 @@ def _grades(x: dict[str, np.ndarray], lang: np.ndarray) -> np.ndarray:
     w, s = np.maximum(x["words"], 1), np.maximum(x["sentences"], 1)
     per_s, syl, let = w / s, x["syllables"] / w, x["letters"] / w
     poly, long, mono = 100 * x["poly"] / w, 100 * x["long"] / w, 100 * x["mono"] / w
-    smog = 1.043 * np.sqrt(30 * x["poly"] / s) + 3.1291
     ari = 4.71 * let + 0.5 * per_s - 21.43
-    lix = per_s + long
-    en = np.stack([0.39 * per_s + 11.8 * syl - 15.59, 0.4 * (per_s + poly), smog, ari, 0.0588 * 100 * let - 0.296 * 100 / per_s - 15.8])
+    lix = (per_s + long - 8) / 4
+    # SMOG is left out: it is defined for thirty sentences and more, which most documents don't have.
+    en = np.stack([0.39 * per_s + 11.8 * syl - 15.59, 0.4 * (per_s + poly), ari, 0.0588 * 100 * let - 0.296 * 100 / per_s - 15.8, lix])
     amstad = 180 - per_s - 58.5 * syl
-    de = np.stack([0.1935 * poly + 0.1672 * per_s + 0.1297 * long - 0.0327 * mono - 0.875, 0.2007 * poly + 0.1682 * per_s + 0.1373 * long - 2.779, (100 - amstad) / 6, np.sqrt(30 * x["poly"] / s) - 2, lix / 4])
+    first, second = 0.1935 * poly + 0.1672 * per_s + 0.1297 * long - 0.0327 * mono - 0.875, 0.2007 * poly + 0.1682 * per_s + 0.1373 * long - 2.779
+    de = np.stack([first, second, 0.2963 * poly + 0.1905 * per_s - 1.1144, (100 - amstad) / 6, lix])
     huerta = 206.84 - 60 * syl - 1.02 * per_s
     inflesz = 206.835 - 62.3 * syl - per_s
-    es = np.stack([(-0.205 * 100 / per_s) + 0.049 * 100 * syl - 3.407, (100 - huerta) / 6, (100 - inflesz) / 6, smog, lix / 4])
+    es = np.stack([(-0.205 * 100 / per_s) + 0.049 * 100 * syl - 3.407, (100 - huerta) / 6, (100 - inflesz) / 6, 0.4 * (per_s + poly), lix])
     return np.where(lang == "en", en, np.where((lang == "de") | (lang == "nl"), de, es))
 
 

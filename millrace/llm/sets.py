@@ -46,9 +46,9 @@ class Overlap:
         return sorted({self.needed(n, m) for m in self.partners(n) if least <= m <= x})
 
     def boundary(self, least: int, budget: int) -> int:
-        """The largest size up to which no set enumerates more than ``budget`` subsets."""
+        """The largest size, 64 at most, up to which no set enumerates more than ``budget`` subsets."""
         x = least
-        while all(sum(comb(n, c) for c in self.subset_sizes(n, least, x + 1)) <= budget for n in range(least, x + 2)):
+        while x < 64 and all(sum(comb(n, c) for c in self.subset_sizes(n, least, x + 1)) <= budget for n in range(least, x + 2)):
             x += 1
         return x
 
