@@ -200,3 +200,21 @@ def strip_comments(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?m)^\s*#.*$", "")
     c = F.regexp_replace(c, r"(?m)^\s*//.*$", "")
     return F.regexp_replace(c, r"(?s)/\*.*?\*/", "")
+
+
+# -- pages -------------------------------------------------------------------
+
+
+def noindex(html: Column) -> Column:
+    """Whether a page asks not to be indexed."""
+    return F.coalesce(html.rlike(r"(?is)<meta[^>]+name=[\"']robots[\"'][^>]*content=[\"'][^\"']*noindex"), F.lit(False))
+
+
+def parsed_time(c: Column) -> Column:
+    """A time from the usual spellings, null where there is none; the clock is never asked."""
+    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("MMMM d, yyyy")), F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss z")))
+
+
+def accepts_language(stated: Column, name: str, aliases: list[str] | None = None) -> Column:
+    """Whether a stated language is the one a reader is for, or an alias of it."""
+    return F.coalesce(F.lower(stated).isin(name.lower(), *[a.lower() for a in aliases or []]), F.lit(False))

@@ -158,3 +158,13 @@ def fact_block(groups: DataFrame, k: int = 6, chars: int = 2000) -> DataFrame:
     line = F.concat_ws("", F.lit("- "), "finding", F.lit(" x"), F.col("n").cast("string"), F.lit(" ("), "severity", F.lit("): "), F.array_join("files", ", "))
     lines = top.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("_k", line.alias("line")))).alias("l"))
     return lines.select("repo_id", F.left(F.array_join(F.col("l.line"), "\n"), F.lit(chars)).alias("facts"))
+
+
+def mermaid(edges: DataFrame, group: str, src: str, dst: str, n: str, k: int = 12) -> DataFrame:
+    """One flow chart text per group from its ``k`` heaviest edges; names become safe identifiers."""
+    top = edges.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(n), src, dst))).where(F.col("_k") <= k)
+    safe = lambda c: F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+    label = lambda c: F.regexp_replace(c, "[\"\\[\\]]", "")
+    line = F.concat(F.lit("  "), safe(src), F.lit('["'), label(src), F.lit('"] -->|'), F.col(n).cast("string"), F.lit("| "), safe(dst), F.lit('["'), label(dst), F.lit('"]'))
+    lines = top.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_k", line.alias("line")))).alias("l"))
+    return lines.select(group, F.concat(F.lit("flowchart LR\n"), F.array_join(F.col("l.line"), "\n")).alias("chart"))

@@ -101,3 +101,24 @@ def due(items: DataFrame, done: DataFrame, key: str, version: int, as_of: Column
     """Items never done, done by another version, or last done ``days`` or more before ``as_of``."""
     fresh = done.where((F.col("version") == version) & (F.col("done_at") > as_of - F.expr(f"interval {days} days"))).select(key)
     return items.join(fresh, key, "left_anti")
+
+
+def quota(retries: DataFrame, fresh: DataFrame, order: Sequence[Column], most: int, share: float = 0.3) -> DataFrame:
+    """A run's batch: at most ``share`` of ``most`` retried items, the rest fresh ones, each in order."""
+    again = retries.orderBy(*order).limit(int(most * share))
+    return again.withColumn("retry", F.lit(True)).unionByName(fresh.orderBy(*order).limit(most - int(most * share)).withColumn("retry", F.lit(False)))
+
+
+def ranked_reads(tree: DataFrame, wanted: Sequence[tuple[str, int]], budget: int = 20) -> DataFrame:
+    """The files of each repository to read first, ``budget`` of them.
+
+    ``wanted``: pattern and the most files of it, in order of importance; a file counts under the first
+    pattern that it matches.
+    """
+    kind = F.lit(None).cast("int")
+    for i, (pattern, _) in reversed(list(enumerate(wanted))):
+        kind = F.when(F.col("path").rlike(pattern), i).otherwise(kind)
+    most = F.element_at(F.array(*[F.lit(n) for _, n in wanted]), F.col("kind") + 1)
+    t = tree.withColumn("kind", kind).where("kind is not null")
+    t = t.withColumn("_k", F.row_number().over(Window.partitionBy("repo_id", "kind").orderBy("path"))).where(F.col("_k") <= most)
+    return t.withColumn("turn", F.row_number().over(Window.partitionBy("repo_id").orderBy("kind", "path"))).where(F.col("turn") <= budget).drop("_k")

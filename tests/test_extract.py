@@ -104,3 +104,15 @@ def test_ranked_shapes(spark, rows):
     assert relational.stratified(df, F.col("g"), {"a": 0.5, "b": 0.25}, 4, 1, "id").count() == 3
     assert rows(relational.nearest_rank(df, "n", [0.0, 0.5, 1.0])) == [(1, 3, 9)]
     assert rows(relational.min_max(spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (None, 2.0)], "a double, b double"), ["a", "b"])) == [(0.0, 0.0), (1.0, 0.0), (None, 0.0)]
+
+
+def test_pages_reads_quota_and_charts(spark, rows):
+    assert value(spark, text.noindex, '<meta name="robots" content="noindex, nofollow">') and not value(spark, text.noindex, None)
+    assert value(spark, text.parsed_time, "January 5, 2026").day == 5 and value(spark, text.parsed_time, "soon") is None
+    assert value(spark, lambda c: text.accepts_language(c, "TypeScript", ["tsx"]), "TSX")
+    t = tree(spark, [".github/workflows/a.yml", ".github/workflows/b.yml", "package.json", "x.txt"])
+    assert rows(relational.ranked_reads(t, [(r"\.ya?ml$", 1), (r"package\.json$", 5)], 2), "path", "turn") == [(".github/workflows/a.yml", 1), ("package.json", 2)]
+    a, b = spark.range(0, 10), spark.range(100, 200)
+    assert [r["id"] for r in relational.quota(a, b, [F.asc("id")], 10).collect()] == [0, 1, 2, *range(100, 107)]
+    e = spark.createDataFrame([(1, "a/b", "c", 3), (1, "c", "d", 1)], "g int, s string, d string, n int")
+    assert extract.mermaid(e, "g", "s", "d", "n", 1).first()["chart"] == 'flowchart LR\n  a_b["a/b"] -->|3| c["c"]'
