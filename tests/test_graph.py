@@ -65,6 +65,14 @@ def test_labels(spark):
         assert len({got[1], got[2], got[3]}) == 1 and len({got[4], got[5], got[6]}) == 1 and got[1] != got[4]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_labels_are_the_same_in_one_task_and_in_rounds(spark, rows, seed):
+    rnd = random.Random(seed)
+    pairs = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(60)} | {(100, 201), (100, 202), (101, 201), (101, 202), (300, 301), (301, 302), (302, 303)}
+    df = edges(spark, sorted(pairs))
+    assert rows(graph.label_propagation(df, bound=0)) == rows(graph.label_propagation(df))
+
+
 def test_small_shapes(spark, rows):
     df = edges(spark, [(1, 2), (1, 2), (2, 2), (3, 2)])
     assert rows(graph.degrees(df)) == [(1, 0, 1), (2, 2, 0), (3, 0, 1)]
