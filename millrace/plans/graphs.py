@@ -74,7 +74,7 @@ def scc(spark: SparkSession, root: str) -> DataFrame:
 
 def louvain(spark: SparkSession, root: str) -> DataFrame:
     """Modularity communities of the strong similarity graph."""
-    return graph.communities(kin_edges(spark, root), "src", "dst", "sim", KIN_AT)
+    return graph.communities(kin_edges(spark, root), "src", "dst", "sim", KIN_AT, rounds=True)
 
 
 def label_propagation(spark: SparkSession, root: str) -> DataFrame:

@@ -58,6 +58,14 @@ def test_communities_part_a_barbell_and_refine_components(spark):
     assert {(r["node"], r["community"], r["refined"]) for r in whole} == {(n, 1, False) for n in range(1, 7)}
 
 
+def test_communities_are_the_same_in_one_task_and_in_rounds(spark, rows):
+    rnd = random.Random(4)
+    other = {tuple(sorted(rnd.sample(range(10, 34), 2))) for _ in range(45)}
+    df = spark.createDataFrame(BARBELL + [(a, b, rnd.randrange(70, 100) / 100) for a, b in sorted(other)], "src long, dst long, sim double")
+    want = rows(graph.communities(df, "src", "dst", "sim", 0.68))
+    assert rows(graph.communities(df, "src", "dst", "sim", 0.68, bound=0, rounds=True)) == want
+
+
 def test_labels(spark):
     df = edges(spark, [(a, b) for a, b, _ in BARBELL[:6]])
     for bound in (10**6, 0):
