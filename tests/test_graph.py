@@ -41,6 +41,12 @@ def test_closure_and_scc_match_naive(spark, seed):
             assert {r["node"]: r["scc"] for r in graph.strong_components(df, bound=bound).collect()} == want
 
 
+def test_strong_components_out_of_rounds_raise(spark):
+    df = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)], "u long, v long")
+    with pytest.raises(RuntimeError, match="settle"):
+        graph._scc_rounds(df, rounds=1)
+
+
 def test_a_start_on_a_cycle_comes_back_at_its_length(spark):
     got = graph.reverse_closure(edges(spark, [(1, 2), (2, 3), (3, 1)]), spark.createDataFrame([(1,)], "node long"))
     assert {(r["node"], r["depth"]) for r in got.collect()} == {(3, 1), (2, 2), (1, 3)}
