@@ -144,13 +144,29 @@ def shared_value_suppression(spark: SparkSession, root: str) -> DataFrame:
 
 
 def links_of_titles(spark: SparkSession, root: str) -> DataFrame:
-    """One line of Markdown per repository with the titles of its documents, in order."""
+    """A Markdown list per repository of the titles of its first five documents; ``title_blocks`` lists all."""
     d = table(spark, root, "documents", "doc_id", "repo_id", "title").where("repo_id is not null and title is not null")
     firsts = d.withColumn("k", F.row_number().over(Window.partitionBy("repo_id").orderBy("doc_id"))).where("k <= 5")
     lines = firsts.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("doc_id", "title"))).alias("t"))
     return lines.select("repo_id", F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("markdown"))
 
 
+def title_blocks(spark: SparkSession, root: str) -> DataFrame:
+    """Markdown lists of all titles of each repository's documents, in order, in numbered blocks of 100.
+
+    Places are counted within ranges of ids and then over the ranges, so no repository's titles
+    have to meet in one task.
+    """
+    d = table(spark, root, "documents", "doc_id", "repo_id", "title").where("repo_id is not null and title is not null")
+    d = d.withColumn("part", F.expr("doc_id div 65536"))
+    before = F.sum("n").over(Window.partitionBy("repo_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = d.groupBy("repo_id", "part").agg(F.count("*").alias("n")).select("repo_id", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    k = F.row_number().over(Window.partitionBy("repo_id", "part").orderBy("doc_id")) - 1
+    placed = d.withColumn("k", k).join(parts, ["repo_id", "part"]).withColumn("block", F.expr("(k + before) div 100"))
+    blocks = placed.groupBy("repo_id", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "title"))).alias("t"))
+    return blocks.select("repo_id", "block", F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("markdown"))
+
+
 def cached_postings(spark: SparkSession, root: str) -> DataFrame:
     """Postings written once and read for two lookups; here, tokens by their share of documents."""
     p = saved(postings(spark, root), "postings")
@@ -177,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inverted_index_df, token_search, posting_intersect, token_totals, truncated_text, reasoning_leak, fallback_gate, text_entropy, plain_text, cleaned_articles, read_times, embedding_inputs,
-        stale_embeddings, unique_slugs, headings, escaped_titles, line_metrics, duplicated_windows, shared_value_suppression, links_of_titles, cached_postings,
+        stale_embeddings, unique_slugs, headings, escaped_titles, line_metrics, duplicated_windows, shared_value_suppression, links_of_titles, title_blocks, cached_postings,
     )
 }
 SQL = {
@@ -200,5 +216,6 @@ SQL = {
     "line_metrics": f"SELECT doc_id, len(list_filter({_LINES}, lambda x : trim(x, ' ') <> '' AND NOT regexp_matches(x, '^\\s*(#|//|\\*)'))) AS loc, coalesce(list_max(list_transform(list_filter({_LINES}, lambda x : trim(x, ' ') <> ''), lambda x : CAST(floor(length(replace(regexp_extract(x, '^([ \\t]*)', 1), chr(9), '    ')) / 4) AS INT))), 0) AS depth, len(regexp_extract_all(text, '{text.BRANCH}')) AS branches, NOT (list_max(list_transform(regexp_split_to_array(left(text, 200000), '\\n'), lambda x : length(x))) < 2500) AS minified FROM documents",
     "duplicated_windows": "WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x : trim(x, ' ')), lambda x : length(x) > 3 AND NOT regexp_matches(x, '^[)}\\];,]+$')) AS l FROM documents), w AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 4), lambda i : array_to_string(l[i : i + 5], chr(10)))) AS w FROM d WHERE len(l) >= 6) SELECT md5(w) AS \"window\", count(DISTINCT doc_id) AS documents FROM w WHERE length(w) >= 60 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2",
     "links_of_titles": "WITH f AS (SELECT repo_id, doc_id, title, row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) AS k FROM documents WHERE repo_id IS NOT NULL AND title IS NOT NULL) SELECT repo_id, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM f WHERE k <= 5 GROUP BY 1",
+    "title_blocks": "WITH f AS (SELECT repo_id, doc_id, title, (row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) - 1) // 100 AS block FROM documents WHERE repo_id IS NOT NULL AND title IS NOT NULL) SELECT repo_id, block, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM f GROUP BY 1, 2",
     "cached_postings": f"WITH {_POST}, f AS (SELECT token, count(*) AS df FROM post GROUP BY 1) SELECT CAST(floor(df * 10 / (SELECT count(*) FROM documents)) AS BIGINT) AS tenth, count(*) AS tokens FROM f GROUP BY 1",
 }
