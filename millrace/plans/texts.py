@@ -81,7 +81,7 @@ def read_times(spark: SparkSession, root: str) -> DataFrame:
 
 
 def embedding_inputs(spark: SparkSession, root: str) -> DataFrame:
-    """The text to embed of each document and the hash by which a change shows."""
+    """Length and hash of the text to embed; it ends at 2,000 characters, so a change behind them doesn't show."""
     d = _documents(spark, root, "title", "source")
     t = text.embedding_text(F.col("title"), F.col("source"), F.col("text"))
     return d.select("doc_id", F.length(t).alias("chars"), scalar.content_hash(F.lit("model-a"), t).alias("hash"))
