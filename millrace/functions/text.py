@@ -211,8 +211,9 @@ def noindex(html: Column) -> Column:
 
 
 def parsed_time(c: Column) -> Column:
-    """A time from the usual spellings, null where there is none; the clock is never asked."""
-    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("MMMM d, yyyy")), F.try_to_timestamp(c, F.lit("EEE, dd MMM yyyy HH:mm:ss z")))
+    """A time from the usual spellings (ISO, ``January 5, 2026``, mail dates), null where there is none; the clock is never asked."""
+    mail = F.regexp_replace(F.regexp_replace(c, r"^[A-Za-z]{3},\s*", ""), r"\s+(GMT|UTC|UT|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("MMMM d, yyyy")), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def accepts_language(stated: Column, name: str, aliases: list[str] | None = None) -> Column:

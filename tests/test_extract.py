@@ -109,6 +109,8 @@ def test_ranked_shapes(spark, rows):
 def test_pages_reads_quota_and_charts(spark, rows):
     assert value(spark, text.noindex, '<meta name="robots" content="noindex, nofollow">') and not value(spark, text.noindex, None)
     assert value(spark, text.parsed_time, "January 5, 2026").day == 5 and value(spark, text.parsed_time, "soon") is None
+    mail = [value(spark, text.parsed_time, x) for x in ("Mon, 05 Jan 2026 10:00:00 GMT", "5 Jan 2026 12:00:00 +0200", "2026-01-05T10:00:00Z")]
+    assert len(set(mail)) == 1 and mail[0].hour == 10 and value(spark, text.parsed_time, None) is None
     assert value(spark, lambda c: text.accepts_language(c, "TypeScript", ["tsx"]), "TSX")
     t = tree(spark, [".github/workflows/a.yml", ".github/workflows/b.yml", "package.json", "x.txt"])
     assert rows(relational.ranked_reads(t, [(r"\.ya?ml$", 1), (r"package\.json$", 5)], 2), "path", "turn") == [(".github/workflows/a.yml", 1), ("package.json", 2)]
