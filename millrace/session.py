@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import atexit
-import os
+import shutil
 import tempfile
 import uuid
 import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
 _paths: dict[int, str] = {}
+_scopes: list[list[str]] = []
 
 
 def local_session(cpus: int = 8, shuffle: int = 8, **conf: str) -> SparkSession:
@@ -41,13 +44,16 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without and gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        app = spark.sparkContext.applicationId
-        if app not in _made:
-            _made[app] = tempfile.mkdtemp(prefix="millrace-")
-        at = f"file://{_made[app]}"
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
+        if sc.applicationId not in _made:
+            _made[sc.applicationId] = tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, _made[sc.applicationId], ignore_errors=True)
+        at = f"file://{_made[sc.applicationId]}"
     return at.rstrip("/")
 
 
@@ -64,9 +70,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, removed when this process ends."""
     path = f"{shared_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    for scope in _scopes:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside goes when the block ends: for drivers that live long and run many queries.
+
+    ``with scratch(spark): query(spark, root).write.parquet(target)``
+    """
+    own: list[str] = []
+    _scopes.append(own)
+    try:
+        yield
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            _remove(spark, path)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -87,7 +111,3 @@ def release(df: DataFrame) -> None:
     path = _paths.pop(id(df), None)
     if path:
         _remove(df.sparkSession, path)
-
-
-def cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
