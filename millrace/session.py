@@ -106,6 +106,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def is_saved(df: DataFrame) -> bool:
+    """Whether ``df`` is what ``saved`` gave back."""
+    return id(df) in _paths
+
+
 def release(df: DataFrame) -> None:
     """Remove what ``saved`` wrote for ``df``, once nothing still to run reads it."""
     path = _paths.pop(id(df), None)
