@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import keys
-from millrace.llm.clusters import alike_groups, centroid_distances, hashed_features, kmeans, typical
+from millrace.llm.clusters import alike_groups, centroid_distances, hashed_features, kmeans, most_centres, typical
 from millrace.llm.frequency import value_frequencies
 from millrace.llm.leakage import leaked_items
 from millrace.llm.packing import fill_report, pack_texts, text_lengths
@@ -91,9 +91,11 @@ def p5_groups(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def p5_kmeans(spark: SparkSession, root: str, k: int = 256) -> DataFrame:
-    """All records in at most k clusters, each with its size, spread and the records nearest its centroid."""
-    assigned = saved(kmeans(hashed_features(_cluster_members(spark, root), "record_id", "member"), k), "assigned")
+def p5_kmeans(spark: SparkSession, root: str, per_cluster: int = 12) -> DataFrame:
+    """All records in clusters of about ``per_cluster``, each with its size, spread and the records nearest its centroid."""
+    features = saved(hashed_features(_cluster_members(spark, root), "record_id", "member"), "vectors")
+    k = max(1, min(features.count() // per_cluster, most_centres(256)))
+    assigned = saved(kmeans(features, k), "assigned")
     spread = assigned.groupBy("cluster").agg(F.sqrt(F.avg(F.col("distance"))).alias("spread"))
     return typical(assigned, "cluster", "record", "distance").join(spread, "cluster")
 

@@ -88,46 +88,52 @@ def _subsets(rule: Overlap, least: int, x: int):
 
 @dataclass(frozen=True)
 class SetClasses:
-    """``members``: record, class_no. ``sets``: class_no, size, tokens, copies, lowest record. ``giants``: record, token."""
+    """``members``: record, class_no, copies, lowest. ``sets``: class_no, size, tokens, copies, lowest. ``giants``: class_no, size, copies, token."""
 
     members: DataFrame
     sets: DataFrame
     giants: DataFrame | None
+    heads: DataFrame
 
 
-def set_classes(rows: DataFrame, record: str, values: list[str], least: int, giant: int = 50_000) -> SetClasses:
+def set_classes(rows: DataFrame, record: str, values: list[str], least: int, giant: int = 50_000, rule: Overlap = Overlap(1, 1)) -> SetClasses:
     """Distinct value sets of records, equal sets once.
 
     Rows with a null record or a null value (any of ``values``) count for nothing; repeated rows
     count once; records with fewer than ``least`` values are left out. Values are compared by a
-    64-bit hash; the chance that any two of a billion values meet is about 3 in 100. Sets of more
-    than ``giant`` values are never gathered into one row, but stay in long form as ``giants``
-    (None if there are none), together with those large enough to be their partners.
+    64-bit hash; the chance that any two of a billion values meet is about 3 in 100. Equal sets are
+    told by their size and order-free sums of their values' hashes, so copies go before any set is
+    gathered. Sets of more than ``giant`` values are never gathered into one row, but stay in long
+    form as ``giants`` (None if there are none), together with those that ``rule`` lets be their
+    partners. ``heads``, one row per class, has all classes: class_no, size, copies, lowest.
     """
     given = rows.where(F.col(record).isNotNull())
     for v in values:
         given = given.where(F.col(v).isNotNull())
     pairs = saved(given.select(F.col(record).alias("record"), F.xxhash64(*values).alias("token")).distinct(), "set-pairs")
-    total = pairs.count()
-    sizes = pairs.groupBy("record").agg(F.count("*").alias("size"))
-    big = saved(sizes.where(F.col("size") > giant // 4), "set-giants")
-    some = big.where(F.col("size") > giant).limit(1).count() > 0
-    giants = pairs.join(big, "record").select("record", "token", "size") if some else None
-    small = pairs.join(big.where(F.col("size") > giant).select("record"), "record", "left_anti") if some else pairs
+    h = F.xxhash64("token")
+    per_record = pairs.groupBy("record").agg(
+        F.count("*").alias("size"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))).alias("low"), F.bit_xor(F.xxhash64("token", F.lit(1))).alias("mixed")
+    )
+    sign = ["size", "high", "low", "mixed"]
+    per_record = per_record.where(F.col("size") >= least)
+    heads = per_record.groupBy(*sign).agg(F.count("*").alias("copies"), F.min("record").alias("lowest"))
+    heads = saved(heads.withColumn("class_no", F.monotonically_increasing_id()), "set-classes")
+    # A set which a third of the records share meets a broadcast.
+    members = saved(lookup_join(per_record, heads, sign, "copies", pairs.count()).select("record", "class_no", "copies", "lowest"), "set-members")
+    one = heads.select(F.col("lowest").alias("record"), "class_no", "size", "copies")
+    own = lookup_join(pairs, one, ["record"], "size", pairs.count()).select("class_no", "size", "copies", "token")
+    some = bool(heads.where(F.col("size") > giant).limit(1).count())
+    giants = own.where(F.col("size") > giant * rule.num // rule.den) if some else None
+    small = own.where(F.col("size") <= giant)
 
     # Rarest first: a value's frequency decides its place, its hash breaks ties.
-    df = pairs.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = lookup_join(small, df, ["token"], "df", total)
-    gathered = ranked.groupBy("record").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    sets = gathered.where(F.size("t") >= least).select("record", F.col("t.token").alias("tokens"))
-    sets = saved(sets.withColumn("signature", F.md5(F.array_join(F.col("tokens").cast("array<string>"), ","))), "sets")
-    # The signature's copies are counted first, so that a set which a third of the records share meets a broadcast.
-    classes = sets.groupBy("signature").agg(F.count("*").alias("copies"), F.min("record").alias("lowest"))
-    numbered = saved(classes.withColumn("class_no", F.monotonically_increasing_id()), "set-classes")
-    members = saved(lookup_join(sets.select("record", "signature"), numbered, ["signature"], "copies", sets.count()).select("record", "class_no", "copies", "lowest"), "set-members")
-    own = members.where(F.col("record") == F.col("lowest"))
-    distinct = saved(sets.select("record", "tokens").join(own, "record").select("class_no", F.size("tokens").alias("size"), "tokens", "copies", "lowest"), "set-tokens")
-    return SetClasses(members, distinct, giants)
+    small = saved(small.select("class_no", "token"), "set-tokens")
+    df = small.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = lookup_join(small, df, ["token"], "df", small.count())
+    gathered = ranked.groupBy("class_no").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    sets = saved(gathered.select("class_no", F.col("t.token").alias("tokens")).join(heads.select("class_no", F.col("size").cast("int").alias("size"), "copies", "lowest"), "class_no"), "sets")
+    return SetClasses(members, sets.select("class_no", "size", "tokens", "copies", "lowest"), giants, heads.select("class_no", "size", "copies", "lowest"))
 
 
 def class_pairs(sets: DataFrame, rule: Overlap, least: int, budget: int = 64) -> DataFrame:
@@ -137,6 +143,7 @@ def class_pairs(sets: DataFrame, rule: Overlap, least: int, budget: int = 64) ->
     so sets the boundary between small and large; it moves work, never results.
     """
     x = rule.boundary(least, budget)
+    sets = sets.select("class_no", "size", "tokens", "copies")
     n, m = F.col("a.size"), F.col("b.size")
     small = sets.where(F.col("size") <= x).select("class_no", "size", "tokens")
     keys = saved(small.mapInArrow(_subsets(rule, least, x), "key long, class_no long, size int, c int"), "subset-keys")
@@ -154,52 +161,56 @@ def class_pairs(sets: DataFrame, rule: Overlap, least: int, budget: int = 64) ->
     from_large = self_pairs(lists, ["token"], "class_no", fits, lists.count()).select(*ordered)
 
     found = from_small.unionByName(from_large).distinct()
-    tokens = lambda side: sets.select(F.col("class_no").alias(f"class_{side}"), F.col("tokens").alias(f"t_{side}"))
+    side = lambda x: sets.select(F.col("class_no").alias(f"class_{x}"), F.col("tokens").alias(f"t_{x}"), F.col("copies").alias(f"copies_{x}"))
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return (
-        found.join(tokens("a"), "class_a")
-        .join(tokens("b"), "class_b")
-        .select("class_a", "class_b", shared.alias("overlap"), F.size("t_a").alias("size_a"), F.size("t_b").alias("size_b"))
-        .where(F.col("overlap") >= rule.needed_col(F.col("size_a"), F.col("size_b")))
+        found.join(side("a"), "class_a")
+        .join(side("b"), "class_b")
+        .where(shared >= rule.needed_col(F.size("t_a"), F.size("t_b")))
+        .select("class_a", "class_b", "copies_a", "copies_b")
     )
 
 
 def _giant_pairs(giants: DataFrame, rule: Overlap, giant: int) -> DataFrame:
-    """Pairs with a set too large for one row, counted in long form."""
-    a, b = giants.alias("a"), giants.alias("b")
+    """Pairs of classes with one too large for one row, counted in long form; hot values meet in blocks."""
+    giants = saved(giants, "set-giants")
     n, m = F.col("a.size"), F.col("b.size")
     fits = (F.greatest(n, m) > giant) & (F.least(n, m) * rule.den >= F.greatest(n, m) * rule.num)
-    both = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.record") < F.col("b.record")) & fits)
-    counted = both.groupBy(F.col("a.record").alias("record_a"), F.col("b.record").alias("record_b"), n.alias("n"), m.alias("m")).count()
-    return counted.where(F.col("count") >= rule.needed_col(F.col("n"), F.col("m"))).select("record_a", "record_b")
+    both = self_pairs(giants, ["token"], "class_no", fits, giants.count())
+    first = F.col("a.class_no") < F.col("b.class_no")
+    ordered = [F.when(first, F.struct(f"{p}.class_no", f"{p}.size", f"{p}.copies")).otherwise(F.struct(f"{q}.class_no", f"{q}.size", f"{q}.copies")).alias(p) for p, q in (("a", "b"), ("b", "a"))]
+    counted = both.select(*ordered).groupBy("a", "b").count().where(F.col("count") >= rule.needed_col(n, m))
+    return counted.select(F.col("a.class_no").alias("class_a"), F.col("b.class_no").alias("class_b"), F.col("a.copies").alias("copies_a"), F.col("b.copies").alias("copies_b"))
+
+
+def _class_links(classes: SetClasses, rule: Overlap, least: int, budget: int, giant: int) -> DataFrame:
+    """Similar pairs of different classes, ``class_a < class_b``, with the copies of each."""
+    links = class_pairs(classes.sets, rule, least, budget)
+    return links if classes.giants is None else links.unionByName(_giant_pairs(classes.giants, rule, giant))
 
 
-def similar_sets(rows: DataFrame, record: str, values: list[str], rule: Overlap, least: int = 1, budget: int = 64, giant: int = 50_000) -> DataFrame:
+def similar_sets(rows: DataFrame, record: str, values: list[str], rule: Overlap, least: int = 1, budget: int = 64, giant: int = 50_000, block: int = 2000) -> DataFrame:
     """``record_a < record_b``: every pair of records whose value sets are similar enough.
 
     Defined cases: null records and null values count for nothing, repeated rows once, an empty
     table gives no pairs, records with fewer than ``least`` distinct values none; ties don't arise.
     Only ``record`` and ``values`` are read, so other columns can't clash. Equal sets are compared
-    once, as a class, and spread out to pairs of records at the end, hot classes in blocks.
+    once, as a class, and spread out to pairs of records at the end, classes of more than ``block``
+    records in blocks.
     """
-    if giant // 4 > giant * rule.num // rule.den:
-        raise ValueError("giant sets' partners must be at least a quarter of their size")
-    classes = set_classes(rows, record, values, least, giant)
-    links = saved(class_pairs(classes.sets, rule, least, budget), "set-links")
-    who = classes.members.select("record", "class_no")
-    across = (
-        links.join(who.withColumnsRenamed({"class_no": "class_a", "record": "ra"}), "class_a")
-        .join(who.withColumnsRenamed({"class_no": "class_b", "record": "rb"}), "class_b")
-        .select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
-    )
+    classes = set_classes(rows, record, values, least, giant, rule)
+    links = _class_links(classes, rule, least, budget, giant)
+    blocks = lambda copies: F.floor((F.col(copies) - 1) / block).cast("int")
+    for x in ("a", "b"):
+        links = links.withColumn(f"k_{x}", F.explode(F.sequence(F.lit(0), blocks(f"copies_{x}"))))
+    who = classes.members.select("record", "class_no", F.pmod(F.xxhash64("record"), blocks("copies") + 1).cast("int").alias("k"))
+    end = lambda x: who.withColumnsRenamed({"class_no": f"class_{x}", "record": f"r{x}", "k": f"k_{x}"})
+    across = links.join(end("a"), ["class_a", "k_a"]).join(end("b"), ["class_b", "k_b"]).select(F.least("ra", "rb").alias("record_a"), F.greatest("ra", "rb").alias("record_b"))
     repeated = classes.members.where(F.col("copies") > 1).select("record", "class_no")
-    within = self_pairs(repeated, ["class_no"], "record", F.lit(True), classes.sets.count()).select(
+    within = self_pairs(repeated, ["class_no"], "record", F.lit(True), classes.members.count(), block).select(
         F.least("a.record", "b.record").alias("record_a"), F.greatest("a.record", "b.record").alias("record_b")
     )
-    out = across.unionByName(within)
-    if classes.giants is not None:
-        out = out.unionByName(_giant_pairs(classes.giants, rule, giant))
-    return out
+    return across.unionByName(within)
 
 
 def set_links(rows: DataFrame, record: str, values: list[str], rule: Overlap, least: int = 1, budget: int = 64, giant: int = 50_000) -> DataFrame:
@@ -207,27 +218,17 @@ def set_links(rows: DataFrame, record: str, values: list[str], rule: Overlap, le
 
     ``record, class_id, copies, links``; ``class_id`` is the lowest record of the class and
     ``links`` counts all similar records, copies included, without spreading copies out to pairs.
-    A record too large for one row is a class of its own. The edge cases are those of similar_sets.
+    The edge cases are those of similar_sets.
     """
-    classes = set_classes(rows, record, values, least, giant)
-    links = class_pairs(classes.sets, rule, least, budget).select("class_a", "class_b")
-    copies = classes.sets.select(F.col("class_no").alias("other"), F.col("copies").alias("n"))
-    ends = links.select(F.col("class_a").alias("class_no"), F.col("class_b").alias("other")).unionByName(
-        links.select(F.col("class_b").alias("class_no"), F.col("class_a").alias("other"))
-    )
-    degree = ends.join(copies, "other").groupBy("class_no").agg(F.sum("n").alias("across"))
-    degree = classes.sets.select("class_no", "copies", "lowest").join(degree, "class_no", "left")
+    classes = set_classes(rows, record, values, least, giant, rule)
+    links = _class_links(classes, rule, least, budget, giant)
+    ends = F.explode(F.array(F.struct(F.col("class_a").alias("class_no"), F.col("copies_b").alias("n")), F.struct(F.col("class_b").alias("class_no"), F.col("copies_a").alias("n"))))
+    across = links.select(ends.alias("e")).groupBy(F.col("e.class_no").alias("class_no")).agg(F.sum("e.n").alias("across"))
+    degree = classes.heads.select("class_no", "copies", "lowest").join(across, "class_no", "left")
     degree = degree.withColumn("links", F.col("copies") - 1 + F.coalesce("across", F.lit(0)))
-    out = lookup_join(classes.members.select("record", "class_no"), degree, ["class_no"], "copies", classes.members.count()).select(
+    return lookup_join(classes.members.select("record", "class_no"), degree, ["class_no"], "copies", classes.members.count()).select(
         "record", F.col("lowest").alias("class_id"), "copies", "links"
     )
-    if classes.giants is None:
-        return out
-    alone = classes.giants.where(F.col("size") > giant).select("record").distinct()
-    out = out.unionByName(alone.select("record", F.col("record").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")))
-    pairs = _giant_pairs(classes.giants, rule, giant)
-    more = pairs.select(F.col("record_a").alias("record")).unionByName(pairs.select(F.col("record_b").alias("record"))).groupBy("record").agg(F.count("*").alias("more"))
-    return out.join(more, "record", "left").select("record", "class_id", "copies", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
 
 
 def similar_sets_between(left: DataFrame, right: DataFrame, record: str, values: list[str], rule: Overlap, least: int = 1, budget: int = 64) -> DataFrame:
