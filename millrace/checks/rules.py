@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: id -> severity, confidence, axis, points. The thirteen secret checks' confidence is ours.
 RULES: dict[str, tuple[str, float, str, float]] = {
@@ -37,6 +39,33 @@ RULES: dict[str, tuple[str, float, str, float]] = {
     "notebook-missing-random-seed": ("medium", 0.7, "architecture", 12),
 }
 
+#: Checks registered by callers: id -> where it looks (``file`` or ``tree``) and whether it fires.
+REGISTERED: dict[str, tuple[str, Callable[[], Column]]] = {}
+
+
+def register(check_id: str, severity: str, confidence: float, axis: str, points: float, on: str = "file"):
+    """Adds a check to the catalogue; decorates a function that gives the Column telling whether it fires.
+
+    On a ``file`` it may read ``path``, ``text``, ``bare`` (without comments), ``sites`` and ``cells``; on a
+    ``tree`` the columns of audit.tree_facts. An id in use is refused, so is an unknown severity or place.
+    """
+    if check_id in RULES:
+        raise ValueError(f"{check_id} is registered already")
+    if severity not in SEVERITY_WEIGHT or on not in ("file", "tree"):
+        raise ValueError(f"{check_id}: severity {severity}, on {on}")
+
+    def add(fires: Callable[[], Column]) -> Callable[[], Column]:
+        RULES[check_id], REGISTERED[check_id] = (severity, confidence, axis, points), (on, fires)
+        return fires
+
+    return add
+
+
+def unregister(check_id: str) -> None:
+    """Takes a registered check out again."""
+    del REGISTERED[check_id], RULES[check_id]
+
+
 #: Weight of each severity in a finding's rank (fixed values).
 SEVERITY_WEIGHT = {"critical": 8.0, "high": 5.0, "medium": 2.0, "low": 1.0}
 
