@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.session import release, saved
@@ -36,13 +36,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", r
     now = saved(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     before: tuple = ()
     for _ in range(rounds):
-        last, now = now, saved(_small_star(_large_star(now)), "components")
+        # The set of edges no longer changes once every edge joins a node with its root; its count and sum come with the write.
+        seen = Observation()
+        turn = _small_star(_large_star(now)).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s"))
+        last, now = now, saved(turn, "components")
         release(last)
-        # The set of edges no longer changes once every edge joins a node with its root.
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        state = (seen.get["n"], seen.get["s"])
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

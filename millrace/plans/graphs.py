@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalar
 from millrace.operators import graph, relational
 from millrace.operators.components import connected_components
-from millrace.session import table
+from millrace.session import saved, table
 
 #: From this similarity on, two repositories count as kin (fixed value).
 KIN_AT = 0.68
@@ -51,7 +51,7 @@ def reverse_closure(spark: SparkSession, root: str) -> DataFrame:
 
 def closure_depths(spark: SparkSession, root: str) -> DataFrame:
     """How many parts reach the most used part at each depth."""
-    e = part_edges(spark, root)
+    e = saved(part_edges(spark, root), "part-edges")
     start = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "node").limit(1).select("node")
     return graph.reverse_closure(e, start).groupBy("depth").agg(F.count("*").alias("n"))
 
@@ -74,7 +74,7 @@ def scc(spark: SparkSession, root: str) -> DataFrame:
 
 def louvain(spark: SparkSession, root: str) -> DataFrame:
     """Modularity communities of the strong similarity graph."""
-    return graph.communities(kin_edges(spark, root), "src", "dst", "sim", KIN_AT, rounds=True)
+    return graph.communities(kin_edges(spark, root), "src", "dst", "sim", KIN_AT)
 
 
 def label_propagation(spark: SparkSession, root: str) -> DataFrame:

@@ -60,8 +60,8 @@ def test_communities_part_a_barbell_and_refine_components(spark):
     df = spark.createDataFrame(BARBELL, "src long, dst long, sim double")
     got = {r["node"]: r["community"] for r in graph.communities(df, "src", "dst", "sim", 0.68).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4}
-    whole = graph.communities(df, "src", "dst", "sim", 0.68, bound=1).collect()
-    assert {(r["node"], r["community"], r["refined"]) for r in whole} == {(n, 1, False) for n in range(1, 7)}
+    rounds = {r["node"]: r["community"] for r in graph.communities(df, "src", "dst", "sim", 0.68, bound=1).collect()}
+    assert rounds == got
 
 
 def test_communities_are_the_same_in_one_task_and_in_rounds(spark, rows):
@@ -69,7 +69,7 @@ def test_communities_are_the_same_in_one_task_and_in_rounds(spark, rows):
     other = {tuple(sorted(rnd.sample(range(10, 34), 2))) for _ in range(45)}
     df = spark.createDataFrame(BARBELL + [(a, b, rnd.randrange(70, 100) / 100) for a, b in sorted(other)], "src long, dst long, sim double")
     want = rows(graph.communities(df, "src", "dst", "sim", 0.68))
-    assert rows(graph.communities(df, "src", "dst", "sim", 0.68, bound=0, rounds=True)) == want
+    assert rows(graph.communities(df, "src", "dst", "sim", 0.68, bound=0)) == want
 
 
 def test_labels(spark):
