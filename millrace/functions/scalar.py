@@ -231,6 +231,7 @@ EFFECTS = [
                    r"|\.(write_text|read_text|write_bytes|read_bytes|touch|unlink|mkdir)\b|\b(ioutil|osfile)\.(readfile|writefile)\b|\bopen\s*$"),
     ("subprocess", r"\b(subprocess|child_process|os|exec|spawn)\.(run|call|check_output|check_call|popen|system|exec|execsync|spawn|spawnsync|fork)\b|\b(command|cmd)\.(output|status|spawn|run)\b|\bexeccommand\b"),
     ("model", r"\b(openai|anthropic|cohere|mistral|groq|ollama|together|replicate|huggingface|hf|transformers|llm|genai|bedrock|vertexai)\b"
+              r"|\.(chat|completions|complete|generate|embed|embeddings|invoke|predict|infer|stream)\.(create|generate)?\b.*\b(client|api|model|llm)\b"
               r"|\b(model|pipeline|predictor|estimator|net)\.(predict|forward|generate|fit|train|evaluate|infer)\b|\bchat\.completions\.create\b"),
     ("crypto", r"\b(hashlib|hmac|bcrypt|argon2|scrypt|nacl|cryptography|crypto|jwt|jose|jsonwebtoken|fernet)\.(new|sign|verify|encode|decode|encrypt|decrypt|hash|hashpw|checkpw|digest|generate_private_key|sha\d+|md5|blake2[bs]|pbkdf2_hmac)\b"
                r"|\b(secrets|randombytes|token_urlsafe|token_hex|urandom)\b"),

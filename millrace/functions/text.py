@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about a text (fixed values).
@@ -12,10 +12,23 @@ STOP_WORDS = (
 ).split()
 
 
+def _parts(c: Column) -> Column:
+    return F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+#.]+"), lambda t: F.btrim(t, F.lit(".")))
+
+
+def _is_token(t: Column) -> Column:
+    return (F.length(t) > 1) & (F.length(t) < 24) & ~t.isin(STOP_WORDS) & ~t.rlike("^[0-9]+$")
+
+
 def tokens(c: Column) -> Column:
     """Search tokens: lower case, dots trimmed, 2 to 23 characters, no stop words, not all digits."""
-    parts = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9+#.]+"), lambda t: F.regexp_replace(t, r"^[.]+|[.]+$", ""))
-    return F.filter(parts, lambda t: (F.length(t) > 1) & (F.length(t) < 24) & ~t.isin(STOP_WORDS) & ~t.rlike("^[0-9]+$"))
+    return F.filter(_parts(c), _is_token)
+
+
+def token_rows(df: DataFrame, ident: str, c: Column) -> DataFrame:
+    """``ident, token``: the distinct tokens of each text as rows; what a token is, is asked of the rows, in compiled code."""
+    rows = df.select(ident, F.explode(F.array_distinct(_parts(c))).alias("token"))
+    return rows.where(_is_token(F.col("token")))
 
 
 SQL_TOKENS = (
@@ -25,7 +38,8 @@ SQL_TOKENS = (
 
 #: Markdown taken off in this order (the order is a fixed value): pattern, what stays.
 MARKDOWN = [
-    (r"(?s)```\w*\n?(.*?)```", "$1"),
+    (r"(?s)```\w*\n\s*(.*?)\s*```", "$1\n\n"),
+    (r"(?s)```\s*(.*?)\s*```", "$1\n\n"),
     (r"(?m)^`{1,3}\w*\s*$", ""),
     (r"(?m)^#{1,6}\s+", ""),
     (r"\*\*([^*]+)\*\*", "$1"),
@@ -138,11 +152,13 @@ def minified(c: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Bits per character, in the JVM: counts of distinct characters by array functions."""
-    chars = F.split(c, "")
+    """Bits per character, in the JVM: one walk over the sorted characters, adding up the lengths of runs."""
     n = F.length(c).cast("double")
-    parts = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
-    return F.when(n > 0, -F.aggregate(parts, F.lit(0.0), lambda s, p: s + p * F.log2(p))).otherwise(0.0)
+    close = lambda s: s["sum"] + s["run"] * F.log2(F.greatest(F.lit(1.0), s["run"]))
+    state = lambda last, run, total: F.struct(last.alias("last"), run.alias("run"), total.alias("sum"))
+    start = state(F.lit(""), F.lit(0.0), F.lit(0.0))
+    walk = F.aggregate(F.array_sort(F.split(c, "")), start, lambda s, x: F.when(x == s["last"], state(x, s["run"] + 1, s["sum"])).otherwise(state(x, F.lit(1.0), close(s))), close)
+    return F.when(n > 0, F.log2(n) - walk / n).otherwise(0.0)
 
 
 #: Marks of a value that is no secret (fixed values).

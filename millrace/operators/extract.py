@@ -10,8 +10,8 @@ from millrace.functions import scalar, text as tx
 #: Signals of a technology in a path (fixed values).
 TECHNOLOGIES = [
     (r"(?i)react|\.(jsx|tsx)$", "React"), (r"(^|/)next\.config\.", "Next.js"), (r"\.vue$|(^|/)(vue|nuxt)\.config\.", "Vue"), (r"\.svelte$|(^|/)svelte\.config", "Svelte"), (r"(^|/)angular\.json$", "Angular"),
-    (r"(^|/)(manage|wsgi)\.py$", "Django"), (r"(?i)flask", "Flask"), (r"(?i)fastapi", "FastAPI"), (r"(?i)express", "Express"), (r"(^|/)nest-cli\.json$", "NestJS"), (r"config/routes\.rb$", "Rails"), (r"(?i)spring", "Spring"),
-    (r"(^|/)artisan$", "Laravel"), (r"(^|/)tailwind\.config", "Tailwind"), (r"(^|/)(Dockerfile|docker-compose\.ya?ml)$", "Docker"), (r"(?i)(deployment|service|k8s).*\.yaml$", "Kubernetes"), (r"\.tf$", "Terraform"), (r"\.graphql$", "GraphQL"),
+    (r"(?i)(manage|settings|wsgi)\.py", "Django"), (r"(?i)flask|app\.py", "Flask"), (r"(?i)fastapi", "FastAPI"), (r"(?i)express|(app|server)\.js", "Express"), (r"(^|/)nest-cli\.json$", "NestJS"), (r"(?i)gemfile|config/routes\.rb$", "Rails"),
+    (r"(?i)spring|pom\.xml", "Spring"), (r"(?i)artisan|composer\.json", "Laravel"), (r"(^|/)tailwind\.config", "Tailwind"), (r"(^|/)(Dockerfile|docker-compose\.ya?ml)$", "Docker"), (r"(?i)(deployment|service|k8s).*\.yaml$", "Kubernetes"), (r"\.tf$", "Terraform"), (r"\.graphql$", "GraphQL"),
     (r"(?i)(^|/)torch|\.(pt|pth|ckpt)$|lightning", "PyTorch"), (r"(?i)tensorflow|keras|\.h5$|saved_model", "TensorFlow"), (r"(?i)opencv|cv2|haarcascade", "OpenCV"), (r"(?i)transformers|tokenizer|\.safetensors$|huggingface", "Transformers"),
     (r"(?i)yolo|ultralytics|darknet", "YOLO"), (r"(?i)\.onnx$|onnxruntime", "ONNX"), (r"(?i)langchain|langgraph|llama_?index", "LangChain"), (r"(?i)faiss|chroma|pinecone|qdrant|weaviate|pgvector", "Vector store"),
     (r"(?i)(^|/)(pandas|dataframe)|\.parquet$", "pandas"), (r"(?i)pyspark|spark-|\.scala$", "Spark"), (r"(?i)airflow|(^|/)dags/", "Airflow"), (r"(^|/)dbt_project\.yml$", "dbt"), (r"(?i)mlflow|mlruns", "MLflow"),
@@ -64,6 +64,40 @@ def technologies(tree: DataFrame) -> DataFrame:
     return tree.select("repo_id", "path", F.explode(hits).alias("technology")).groupBy("repo_id", "technology").agg(F.min("path").alias("example"))
 
 
+#: Paths that a census takes for a lockfile, a secret and a declared dependency (fixed values).
+_LOCKED = r"(?i)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|gemfile\.lock|composer\.lock)$"
+_SECRET = r"(?i)(^|/)\.env(\.(local|prod|production|dev|development))?$|(^|/)id_rsa$|\.(pem|pfx|p12)$|credentials\.json[^/]*$|secrets\.[^/]*$"
+_DECLARES = r"(?i)(^|/)(package\.json|requirements\.txt|go\.mod|cargo\.toml|gemfile|build\.gradle|pom\.xml|pyproject\.toml|pipfile|poetry\.lock|yarn\.lock|package-lock\.json|composer\.json|pubspec\.yaml)$"
+#: Marks of a CI platform anywhere in a path (fixed values).
+_CI = r"(?i)\.github/workflows|\.gitlab-ci\.yml|\.circleci/config\.yml|\.travis\.yml|jenkinsfile|azure-pipelines\.yml"
+
+
+def code_health(tree: DataFrame) -> DataFrame:
+    """One row per repository of the flags a tree shows: tests, CI, licence, README, lockfile, secret-shaped paths."""
+    p = F.col("path")
+    seen = lambda q: F.bool_or(p.rlike(q))
+    return tree.groupBy("repo_id").agg(
+        F.bool_or(scalar.language_of(p).isNotNull()).alias("has_code"), seen(r"(?i)test|spec").alias("has_tests"), seen(_CI).alias("has_ci"), seen(r"(?i)licen[cs]e|copying").alias("has_license"),
+        seen(r"(?i)(^|/)readme[^/]*$").alias("has_readme"), seen(_LOCKED).alias("has_lockfile"), F.count_if(p.rlike(_SECRET)).alias("secrets"), F.min(F.when(p.rlike(_DECLARES), p)).alias("declares"),
+        F.min(F.when(p.rlike(_SECRET), p)).alias("secret_at"),
+    )
+
+
+def tree_issues(tree: DataFrame) -> DataFrame:
+    """``repo_id, severity, kind, issue, where``: six rules on what a tree lacks or should not hold."""
+    c, no = F.col, lambda x: ~F.col(x)
+    rules = [
+        ("Medium", "SDLC", "no tests", c("has_code") & no("has_tests"), F.lit("")),
+        ("Medium", "SDLC", "no CI", c("has_code") & no("has_ci"), F.lit("")),
+        ("Medium", "SDLC", "no licence", no("has_license"), F.lit("")),
+        ("Low", "SDLC", "no README", no("has_readme"), F.lit("")),
+        ("Low", "Risk", "dependencies without lockfile", c("declares").isNotNull() & no("has_lockfile"), c("declares")),
+        ("Low", "Security", "secret-shaped paths", c("secrets") > 0, c("secret_at")),
+    ]
+    hits = F.array_compact(F.array(*[F.when(fires, F.struct(F.lit(s).alias("severity"), F.lit(k).alias("kind"), F.lit(i).alias("issue"), w.alias("where"))) for s, k, i, fires, w in rules]))
+    return code_health(tree).select("repo_id", F.explode(hits).alias("h")).select("repo_id", "h.*")
+
+
 def sub_projects(tree: DataFrame) -> DataFrame:
     """Top directories that hold code of their own, with their files."""
     p = F.col("path")
@@ -168,3 +202,88 @@ def mermaid(edges: DataFrame, group: str, src: str, dst: str, n: str, k: int = 1
     line = F.concat(F.lit("  "), safe(src), F.lit('["'), label(src), F.lit('"] -->|'), F.col(n).cast("string"), F.lit("| "), safe(dst), F.lit('["'), label(dst), F.lit('"]'))
     lines = top.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_k", line.alias("line")))).alias("l"))
     return lines.select(group, F.concat(F.lit("flowchart LR\n"), F.array_join(F.col("l.line"), "\n")).alias("chart"))
+
+
+def areas(modules: DataFrame, k: int = 7) -> DataFrame:
+    """``repo_id, area, modules``: top directories of more than one module, the ``k`` largest of each repository, ties by name."""
+    n = modules.groupBy("repo_id", scalar.top_dir(F.col("path")).alias("area")).agg(F.count("*").alias("modules")).where("modules > 1")
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("modules"), "area"))
+    return n.withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+
+
+def area_imports(imports: DataFrame, modules: DataFrame, k: int = 12) -> DataFrame:
+    """``repo_id, src, dst, n``: imports between the areas of ``areas``, the ``k`` most frequent of each repository."""
+    known = areas(modules).select("repo_id", "area")
+    e = imports.select("repo_id", scalar.top_dir(F.col("src")).alias("src"), scalar.top_dir(F.col("dst")).alias("dst")).where("src <> dst").groupBy("repo_id", "src", "dst").agg(F.count("*").alias("n"))
+    e = e.join(known.withColumnRenamed("area", "src"), ["repo_id", "src"], "left_semi").join(known.withColumnRenamed("area", "dst"), ["repo_id", "dst"], "left_semi")
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(F.desc("n"), "src", "dst"))
+    return e.withColumn("_k", place).where(F.col("_k") <= k).select("repo_id", "src", "dst", "n")
+
+
+def code_first(tree: DataFrame, budget: int) -> DataFrame:
+    """Each repository's first ``budget`` files, code before the rest, the smaller first, ties by path."""
+    code = F.when(F.col("path").rlike(CODE_FILE), 0).otherwise(1)
+    place = F.row_number().over(Window.partitionBy("repo_id").orderBy(code, "size", "path"))
+    return tree.withColumn("place", place).where(F.col("place") <= budget)
+
+
+def visible_findings(findings: DataFrame, k: int = 12) -> DataFrame:
+    """Per repository and severity the ``k`` findings of greatest rank, and how many more there are."""
+    by = Window.partitionBy("repo_id", "severity")
+    ranked = findings.withColumn("place", F.row_number().over(by.orderBy(F.desc("rank"), "finding", "path"))).withColumn("more", F.greatest(F.lit(0), F.count("*").over(by) - k))
+    return ranked.where(F.col("place") <= k)
+
+
+def originals_and_forks(repos: DataFrame, k: int, distinct: bool = True) -> DataFrame:
+    """Every original and the ``k`` forks with most stars; with ``distinct`` an id counts once, its first row by name."""
+    forks = repos.where("parent_id is not null").orderBy(F.desc("stars"), "id").limit(k)
+    both = repos.where("parent_id is null").unionByName(forks)
+    if not distinct:
+        return both
+    rest = [c for c in both.columns if c != "id"]
+    return both.groupBy("id").agg(F.min(F.struct("name", *[c for c in rest if c != "name"])).alias("r")).select("id", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def report_totals(findings: DataFrame) -> DataFrame:
+    """``repo_id, findings, high, place``: reports ranked by findings, then by severe ones, ties by id."""
+    n = findings.groupBy("repo_id").agg(F.count("*").alias("findings"), F.count_if(F.col("severity") == "high").alias("high"))
+    return n.withColumn("place", F.rank().over(Window.orderBy(F.desc("findings"), F.desc("high"), "repo_id")).cast("long"))
+
+
+def changed_upstream(stored: DataFrame, upstream: DataFrame, key: str = "repo_id") -> DataFrame:
+    """Keys whose upstream day of change differs from the stored one, or that were never described."""
+    u = upstream.select(key, F.to_date("updated_at").alias("_now"))
+    s = stored.select(key, F.to_date("updated_at").alias("_then"), F.col("topics").isNotNull().alias("_known"))
+    return u.join(s, key, "left").where("_then is null or _then <> _now or not _known").select(key)
+
+
+def article_state(articles: DataFrame, inputs: DataFrame, version: int, audit_version: int, symbol_version: int, wanted: DataFrame) -> DataFrame:
+    """``repo_id, version, symbols, audit, current`` of every article with a text.
+
+    ``articles``: ``repo_id, version, summary``; ``inputs``: ``repo_id, symbols, audit``, the versions of what
+    a rewrite would read (null: none). A text is current if it is of this ``version``, or if it is
+    behind but what a rewrite needs isn't there yet; one that is ``wanted`` (``repo_id``) never is.
+    A missing version counts as the first.
+    """
+    state = lambda c, v: F.when(F.col(c).isNull(), "absent").when(F.col(c) >= v, "current").otherwise("stale")
+    a = articles.where("summary is not null and summary <> ''").select("repo_id", F.coalesce("version", F.lit(1)).alias("version"))
+    a = a.join(inputs, "repo_id", "left").join(wanted.select("repo_id", F.lit(True).alias("asked")).distinct(), "repo_id", "left")
+    a = a.select("repo_id", "version", state("symbols", symbol_version).alias("symbols"), state("audit", audit_version).alias("audit"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    ready = (F.col("symbols") != "stale") & (F.col("audit") == "current")
+    return a.withColumn("current", ~F.col("asked") & ((F.col("version") >= version) | ~ready)).drop("asked")
+
+
+def fact_sections(sections: list[tuple[str, DataFrame, str]], chars: int = 6000) -> DataFrame:
+    """``repo_id, facts``: the sections in their order, each under its heading, cut to ``chars``.
+
+    A section is a heading, rows of ``repo_id, place`` and the name of the column with the line. A
+    repository without rows in a section has no such heading; one without any has no row.
+    """
+    parts = [rows.select("repo_id", F.lit(i).alias("s"), F.lit(title).alias("title"), "place", F.col(line).alias("line")) for i, (title, rows, line) in enumerate(sections)]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    one = every.groupBy("repo_id", "s", "title").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("l"))
+    text = one.select("repo_id", "s", F.concat("title", F.lit(":\n"), F.array_join(F.transform("l", lambda x: F.concat(F.lit("  "), x["line"])), "\n")).alias("t"))
+    joined = text.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("s", "t"))).alias("t"))
+    return joined.select("repo_id", F.left(F.array_join(F.col("t.t"), "\n\n"), F.lit(chars)).alias("facts"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import saved
+
 
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, place: str = "place") -> DataFrame:
     """The first ``k`` rows of each group; a window group limit runs before the shuffle."""
@@ -32,16 +34,34 @@ def latest_wins(old: DataFrame, new: DataFrame, key: Sequence[str], version: Seq
     return best.select(*key, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*both.columns)
 
 
+def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """``df`` with the running total of ``value`` within each group, the row itself included; ``order`` is total.
+
+    No group has to fit a task: rows are dealt by ranges of group and order, totals run inside each
+    range, and what came before is added from one small row per group and range. Groups may be null.
+    """
+    keys = [F.col(c) for c in by]
+    ranged = saved(df.withColumn(name, value).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*by, "_part").agg(F.sum(name).alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    run = ranged.withColumn(name, F.sum(name).over(inside)).alias("r").join(parts.alias("p"), [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "_part"]])
+    return run.select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col(f"r.{name}") + F.col("p._n")).alias(name))
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], place: str = "place") -> DataFrame:
+    """Rows numbered 1, 2, ... within each group of any size, in a total order."""
+    return running_sum(df, by, order, F.lit(1).cast("long"), place)
+
+
 def interleave(df: DataFrame, group: str, order: Sequence[Column], place: str = "turn") -> DataFrame:
     """Round robin: every group's first row, then every group's second, and so on."""
-    ranked = df.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    return ranked.orderBy(place, group)
+    return numbered(df, [group], order, place).orderBy(place, group)
 
 
 def within_budget(df: DataFrame, by: Sequence[str], order: Sequence[Column], size: str, budget: int) -> DataFrame:
-    """Rows of each group, in order, as long as their running total stays within the budget."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_spent", F.sum(size).over(w)).where(F.col("_spent") <= budget).drop("_spent")
+    """Rows of each group, in a total order, as long as their running total stays within the budget."""
+    return running_sum(df, by, order, F.coalesce(F.col(size), F.lit(0)), "_spent").where(F.col("_spent") <= budget).drop("_spent")
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10) -> DataFrame:

@@ -144,9 +144,3 @@ def principal_axes(df: DataFrame, ident: str, vector: str, axes: int = 3) -> Dat
 def corroborated(near: DataFrame, overlap: DataFrame) -> DataFrame:
     """Neighbours that both the vectors and the shared terms name, with both weights."""
     return near.select(F.col("src").alias("id"), F.col("dst").alias("other"), "sim").join(overlap.select("id", "other", "weight"), ["id", "other"])
-
-
-def by_rank(df: DataFrame, ident: str, order: list[Column]) -> DataFrame:
-    """Each neighbour with the one before and after it in its list."""
-    w = Window.partitionBy(ident).orderBy(*order)
-    return df.withColumn("previous", F.lag("other").over(w)).withColumn("next", F.lead("other").over(w))

@@ -159,25 +159,36 @@ def short_numbers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def keeper(spark: SparkSession, root: str) -> DataFrame:
-    """The best member of every cluster record by score, then lowest id; unaudited members last."""
+    """The best member of every cluster record by score, stars, manifests, then lowest id; unaudited members last."""
     c = table(spark, root, "clusters", "record_id", "members").select("record_id", F.explode("members").alias("m")).where("m.id is not null")
     m = c.groupBy("record_id", F.col("m.id").alias("member")).agg(F.max(F.coalesce("m.score", F.lit(-1.0))).alias("score"))
-    return m.groupBy("record_id").agg(F.max_by("member", F.struct("score", -F.col("member"))).alias("keeper"), F.max("score").alias("score"))
+    stars = current(spark, root).select(F.col("id").alias("member"), "stars")
+    files = table(spark, root, "dependency", "repo_id", "manifest_path").dropna().distinct().groupBy(F.col("repo_id").alias("member")).agg(F.count("*").alias("files"))
+    m = m.join(stars, "member", "left").join(files, "member", "left").fillna(0, ["stars", "files"])
+    return m.groupBy("record_id").agg(F.max_by("member", F.struct("score", "stars", "files", -F.col("member"))).alias("keeper"), F.max("score").alias("score"))
 
 
 def cluster_summary(spark: SparkSession, root: str) -> DataFrame:
-    """A25, A40, G-17: per build, clusters, repositories covered, cross-domain and largest."""
+    """A25, A40, G-17: per build, clusters, repositories covered, cross-domain, largest, ungraded members, wholly ungraded clusters, mean score."""
     c = table(spark, root, "clusters", "record_id", "build_no", "members").select("record_id", "build_no", F.explode("members").alias("m")).where("m.id is not null")
-    m = c.groupBy("build_no", "record_id").agg(F.count_distinct("m.id").alias("size"), F.count_distinct("m.domain").alias("domains"))
-    return m.groupBy("build_no").agg(F.count("*").alias("clusters"), F.sum("size").alias("covered"), F.count_if(F.col("domains") > 1).alias("cross_domain"), F.max("size").alias("largest"))
+    one = c.groupBy("build_no", "record_id", F.col("m.id").alias("id")).agg(F.max("m.score").alias("score"), F.collect_set("m.domain").alias("domains"))
+    m = one.groupBy("build_no", "record_id").agg(
+        F.count("*").alias("size"), F.size(F.array_distinct(F.flatten(F.collect_set("domains")))).alias("domains"), F.count_if(F.col("score").isNull()).alias("ungraded"),
+        F.sum(F.round(F.col("score") * 100).cast("long")).alias("hundredths"),
+    )
+    graded = F.sum("size") - F.sum("ungraded")
+    return m.groupBy("build_no").agg(
+        F.count("*").alias("clusters"), F.sum("size").alias("covered"), F.count_if(F.col("domains") > 1).alias("cross_domain"), F.max("size").alias("largest"), F.sum("ungraded").alias("ungraded"),
+        F.count_if(F.col("ungraded") == F.col("size")).alias("blind"), F.when(graded > 0, scalar.half_up(F.sum("hundredths") / graded / 100, 1)).alias("mean_score"),
+    )
 
 
 def cluster_numbers(spark: SparkSession, root: str) -> DataFrame:
     """G-17: clusters of each build numbered c001, c002, ... by size, then least member."""
     c = table(spark, root, "clusters", "record_id", "build_no", "members").select("record_id", "build_no", F.explode("members.id").alias("m")).where("m is not null")
     m = c.groupBy("build_no", "record_id").agg(F.count_distinct("m").alias("size"), F.min("m").alias("least"))
-    n = F.row_number().over(Window.partitionBy("build_no").orderBy(F.desc("size"), "least", "record_id"))
-    return m.select("record_id", "build_no", F.concat(F.lit("c"), F.lpad(n.cast("string"), 3, "0")).alias("number"))
+    n = relational.numbered(m, ["build_no"], [F.desc("size"), F.asc("least"), F.asc("record_id")], "n")
+    return n.select("record_id", "build_no", F.concat(F.lit("c"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("number"))
 
 
 def cluster_mismatches(spark: SparkSession, root: str) -> DataFrame:
@@ -201,7 +212,7 @@ def neighbours(spark: SparkSession, root: str) -> DataFrame:
 def interleaved(spark: SparkSession, root: str) -> DataFrame:
     """Repositories taken from the domains in turn, most stars first; everyone's turn."""
     r = current(spark, root).select("id", F.coalesce("domain", F.lit("Other")).alias("domain"), "stars")
-    return r.withColumn("turn", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("stars"), "id"))).select("id", "domain", "turn")
+    return relational.numbered(r, ["domain"], [F.desc_nulls_last("stars"), F.asc("id")], "turn").select("id", "domain", "turn")
 
 
 def running_budget(spark: SparkSession, root: str) -> DataFrame:
@@ -300,8 +311,8 @@ SQL = {
     "percentile_fit": f"WITH {_LAST}, p AS (SELECT quantile_disc(stars, 0.02) AS low, quantile_disc(stars, 0.98) AS high FROM cur) SELECT low, high, CAST(sum(greatest(low, least(high, stars))) AS BIGINT) AS clamped FROM cur, p WHERE stars IS NOT NULL GROUP BY 1, 2",
     "minmax_norm": f"WITH {_LAST}, e AS (SELECT min(stars) AS a, max(stars) AS b, min(forks) AS c, max(forks) AS d FROM cur) SELECT id, {_H4.format(x='(stars - a) / (b - a)')} AS stars, {_H4.format(x='(forks - c) / (d - c)')} AS forks FROM cur, e",
     "short_numbers": "WITH t AS (SELECT o_custkey, floor(sum(o_totalprice) + 0.5) AS total FROM orders GROUP BY 1) SELECT o_custkey, CASE WHEN total < 10000 THEN CAST(CAST(total AS BIGINT) AS VARCHAR) WHEN total < 1000000 THEN printf('%.1f', floor(total / 1e3 * 10.0 + 0.5) / 10.0) || 'K' ELSE printf('%.1f', floor(total / 1e6 * 10.0 + 0.5) / 10.0) || 'M' END AS short FROM t",
-    "keeper": f"WITH {_MEM}, m AS (SELECT record_id, m.id AS member, max(coalesce(m.score, -1.0)) AS score FROM mem GROUP BY 1, 2) SELECT record_id, member AS keeper, score FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, member) AS k FROM m) WHERE k = 1",
-    "cluster_summary": f"WITH {_MEM}, m AS (SELECT build_no, record_id, count(DISTINCT m.id) AS size, count(DISTINCT m.domain) AS domains FROM mem GROUP BY 1, 2) SELECT build_no, count(*) AS clusters, CAST(sum(size) AS BIGINT) AS covered, count(*) FILTER (domains > 1) AS cross_domain, max(size) AS largest FROM m GROUP BY 1",
+    "keeper": f"WITH {_LAST}, {_MEM}, m AS (SELECT record_id, m.id AS member, max(coalesce(m.score, -1.0)) AS score FROM mem GROUP BY 1, 2), f AS (SELECT repo_id, count(DISTINCT manifest_path) AS files FROM dependency GROUP BY 1) SELECT record_id, member AS keeper, score FROM (SELECT m.*, row_number() OVER (PARTITION BY record_id ORDER BY score DESC, coalesce(stars, 0) DESC, coalesce(files, 0) DESC, member) AS k FROM m LEFT JOIN cur ON cur.id = member LEFT JOIN f ON f.repo_id = member) WHERE k = 1",
+    "cluster_summary": f"WITH {_MEM}, s AS (SELECT build_no, record_id, m.id AS id, max(m.score) AS score FROM mem GROUP BY 1, 2, 3), d AS (SELECT record_id, count(DISTINCT m.domain) AS domains FROM mem GROUP BY 1), m AS (SELECT build_no, record_id, count(*) AS size, count(*) FILTER (score IS NULL) AS ungraded, sum(CAST(round(score * 100) AS BIGINT)) AS h FROM s GROUP BY 1, 2) SELECT build_no, count(*) AS clusters, CAST(sum(size) AS BIGINT) AS covered, count(*) FILTER (domains > 1) AS cross_domain, max(size) AS largest, CAST(sum(ungraded) AS BIGINT) AS ungraded, count(*) FILTER (ungraded = size) AS blind, CASE WHEN sum(size) > sum(ungraded) THEN {_H1.format(x='sum(h) / (sum(size) - sum(ungraded)) / 100')} END AS mean_score FROM m JOIN d USING (record_id) GROUP BY 1",
     "cluster_numbers": f"WITH {_MEM}, m AS (SELECT build_no, record_id, count(DISTINCT m.id) AS size, min(m.id) AS least FROM mem GROUP BY 1, 2) SELECT record_id, build_no, 'c' || lpad(CAST(row_number() OVER (PARTITION BY build_no ORDER BY size DESC, least, record_id) AS VARCHAR), 3, '0') AS number FROM m",
     "cluster_mismatches": f"WITH {_MEM}, f AS (SELECT record_id, count(DISTINCT m.id) AS found, list(m.id) AS ids FROM mem GROUP BY 1) SELECT c.record_id, c.size AS stated, coalesce(found, 0) AS found FROM clusters c LEFT JOIN f USING (record_id) WHERE c.size IS DISTINCT FROM coalesce(found, 0) OR NOT coalesce(list_contains(ids, c.keeper.id), false)",
     "neighbours": f"WITH {_LAST}, b AS (SELECT id, neighbour_id, max(similarity) AS similarity FROM kin WHERE id <> neighbour_id AND similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1, 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour_id) AS place FROM b) WHERE place <= 12), w AS (SELECT *, lag(neighbour_id) OVER (PARTITION BY id ORDER BY place) AS previous, lead(neighbour_id) OVER (PARTITION BY id ORDER BY place) AS following FROM t) SELECT w.id, place, neighbour_id, similarity, name, domain, previous, following FROM w LEFT JOIN cur ON cur.id = neighbour_id",

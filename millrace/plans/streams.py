@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalar import half_up
 from millrace.session import new_path, table
+from millrace.sources.sinks import committed
 from millrace.streaming.incremental import file_stream, sessions, tumbling, upsert_stream
 
 
 def event_days(spark: SparkSession, root: str) -> DataFrame:
     """Tumbling days per type (beyond the reference: it has no windows)."""
-    d = tumbling(table(spark, root, "events", "ts", "event_type", "value"), "ts", "1 day", "2 hours", "event_type")
+    d = tumbling(table(spark, root, "events", "ts", "event_type", "value"), "ts", "1 day", "2 hours", ["event_type"])
     return d.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", half_up(F.col("value"), 2).alias("value"))
 
 
@@ -28,7 +29,7 @@ def streamed_upsert(spark: SparkSession, root: str) -> DataFrame:
     source = table(spark, root, "events")
     stream = file_stream(spark, f"{root}/events.parquet*", source.schema).select("user_id", "ts", "event_id", "event_type")
     upsert_stream(stream, out, ["user_id"], ["ts", "event_id"], check).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
+    return committed(spark, out).select("user_id", "event_id", "event_type")
 
 
 QUERIES = {f.__name__: f for f in (event_days, user_sessions, streamed_upsert)}

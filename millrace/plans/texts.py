@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalar, text
+from millrace.operators import relational
 from millrace.session import saved, table
 
 
@@ -15,7 +16,7 @@ def _documents(spark: SparkSession, root: str, *more: str) -> DataFrame:
 
 def postings(spark: SparkSession, root: str) -> DataFrame:
     """Distinct (token, document) of all texts."""
-    return _documents(spark, root).select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    return text.token_rows(_documents(spark, root), "doc_id", F.col("text"))
 
 
 def inverted_index_df(spark: SparkSession, root: str, share: float = 0.4) -> DataFrame:
@@ -90,15 +91,16 @@ def embedding_inputs(spark: SparkSession, root: str) -> DataFrame:
 def stale_embeddings(spark: SparkSession, root: str) -> DataFrame:
     """Documents whose text changed since an earlier fetch under the same title."""
     d = _documents(spark, root, "title", "fetched_at").where("title is not null").withColumn("h", scalar.content_hash(F.lit("model-a"), F.coalesce("text", F.lit(""))))
-    w = Window.partitionBy("title").orderBy("fetched_at", "doc_id")
-    return d.withColumn("before", F.lag("h").over(w)).where("before is not null and before <> h").select("doc_id")
+    d = saved(relational.numbered(d.select("doc_id", "title", "fetched_at", "h"), ["title"], [F.asc("fetched_at"), F.asc("doc_id")]), "fetches")
+    before = d.select("title", (F.col("place") + 1).alias("place"), F.col("h").alias("before"))
+    return d.join(before, ["title", "place"]).where("before <> h").select("doc_id")
 
 
 def unique_slugs(spark: SparkSession, root: str) -> DataFrame:
     """A slug of every title, later ones of the same slug numbered -2, -3, ..."""
     d = table(spark, root, "documents", "doc_id", "title").where("title is not null").withColumn("base", text.slug(F.col("title")))
-    k = F.row_number().over(Window.partitionBy("base").orderBy("doc_id"))
-    return d.select("doc_id", F.when(k > 1, F.concat("base", F.lit("-"), k)).otherwise(F.col("base")).alias("slug"))
+    k = F.col("k")
+    return relational.numbered(d, ["base"], [F.asc("doc_id")], "k").select("doc_id", F.when(k > 1, F.concat("base", F.lit("-"), k)).otherwise(F.col("base")).alias("slug"))
 
 
 def headings(spark: SparkSession, root: str) -> DataFrame:
@@ -154,15 +156,10 @@ def links_of_titles(spark: SparkSession, root: str) -> DataFrame:
 def title_blocks(spark: SparkSession, root: str) -> DataFrame:
     """Markdown lists of all titles of each repository's documents, in order, in numbered blocks of 100.
 
-    Places are counted within ranges of ids and then over the ranges, so no repository's titles
-    have to meet in one task.
+    Places are counted within ranges, so no repository's titles have to meet in one task.
     """
     d = table(spark, root, "documents", "doc_id", "repo_id", "title").where("repo_id is not null and title is not null")
-    d = d.withColumn("part", F.expr("doc_id div 65536"))
-    before = F.sum("n").over(Window.partitionBy("repo_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = d.groupBy("repo_id", "part").agg(F.count("*").alias("n")).select("repo_id", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    k = F.row_number().over(Window.partitionBy("repo_id", "part").orderBy("doc_id")) - 1
-    placed = d.withColumn("k", k).join(parts, ["repo_id", "part"]).withColumn("block", F.expr("(k + before) div 100"))
+    placed = relational.numbered(d, ["repo_id"], [F.asc("doc_id")], "k").withColumn("block", F.expr("(k - 1) div 100"))
     blocks = placed.groupBy("repo_id", "block").agg(F.sort_array(F.collect_list(F.struct("doc_id", "title"))).alias("t"))
     return blocks.select("repo_id", "block", F.array_join(F.transform("t", lambda x: F.concat(F.lit("- "), x["title"])), "\n").alias("markdown"))
 

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from millrace.session import saved
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -17,10 +19,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def json_or_empty(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False) -> DataFrame:
-    """A JSON source with a given schema; empty where there is none. Broken records are dropped."""
+    """A JSON source with a given schema; empty where there is none. ``json_lines`` tells what it leaves out."""
+    return json_lines(spark, path, schema, multiline)[0]
+
+
+def json_lines(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The records of a JSON source and its broken ones, ``_corrupt`` holding their text: none is lost unseen."""
+    asked = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     if not exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", str(multiline).lower()).json(path)
+        return spark.createDataFrame([], asked), spark.createDataFrame([], "_corrupt string")
+    whole = StructType([*asked.fields, StructField("_corrupt", StringType())])
+    read = spark.read.schema(whole).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", str(multiline).lower()).json(path)
+    read = saved(read, "json")  # parsed once for both sides
+    return read.where("_corrupt is null").select(*asked.names), read.where("_corrupt is not null").select("_corrupt")
 
 
 def shards(spark: SparkSession, directory: str, schema: StructType | str, glob: str = "*.json", ident: str = "id") -> DataFrame:

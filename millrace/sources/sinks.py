@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.relational import missing_references
+from millrace.operators.relational import missing_references, numbered
 from millrace.sources.readers import exists
 
 
@@ -26,10 +27,10 @@ def table_digest(df: DataFrame, masked: Sequence[str] = ()) -> tuple[int, str]:
 
 
 def write_if_changed(df: DataFrame, path: str, masked: Sequence[str] = ()) -> bool:
-    """K1: overwrite ``path`` only if the content differs, ``masked`` columns aside. Returns whether it wrote."""
+    """K1: commit ``df`` to ``path`` only if the content differs, ``masked`` columns aside. Returns whether it wrote."""
     spark = df.sparkSession
-    if exists(spark, f"{path}/_SUCCESS"):
-        old = spark.read.parquet(path)
+    if _manifest(spark, path) is not None:
+        old = committed(spark, path)
         if sorted(old.columns) == sorted(df.columns) and table_digest(old, masked) == table_digest(df, masked):
             return False
     commit(df, path)
@@ -42,19 +43,63 @@ def changed_rows(new: DataFrame, old: DataFrame, key: Sequence[str], masked: Seq
     return a.join(b.select(*key, "_digest"), [*key, "_digest"], "left_anti").drop("_digest")
 
 
-def commit(df: DataFrame, path: str) -> None:
-    """K4: write beside the target, then swap by rename, so readers see the old table or the new one."""
-    spark = df.sparkSession
-    stage, aside = f"{path}.stage-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    """What the table at ``path`` consists of now: ``parts``, directory by part, and ``before``, those of the commit before."""
+    p, fs = _fs(spark, f"{path}/_manifest.json")
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def commit_parts(spark: SparkSession, path: str, parts: dict[str, str]) -> None:
+    """Put directories in the place of the table's parts of the same names, all at once.
+
+    The manifest is written beside the old one and renamed over it, which file systems do in one
+    step. Directories stay one commit longer than they are needed, for readers that began before.
+    """
+    old = _manifest(spark, path) or {"parts": {}, "before": []}
+    now = {**old["parts"], **parts}
+    replaced = sorted(set(old["parts"].values()) - set(now.values()))
     jvm = spark.sparkContext._jvm
-    p = lambda x: jvm.org.apache.hadoop.fs.Path(x)
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(p(path)):
-        fs.rename(p(path), p(aside))
-    if not fs.rename(p(stage), p(path)):
-        raise OSError(f"could not put {stage} in the place of {path}")
-    fs.delete(p(aside), True)
+    aside, fs = _fs(spark, f"{path}/_manifest-{uuid.uuid4().hex}.json")
+    out = fs.create(aside, True)
+    out.write(bytearray(json.dumps({"parts": now, "before": replaced}).encode()))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(aside, _fs(spark, f"{path}/_manifest.json")[0], how)
+    for directory in old["before"]:
+        fs.delete(_fs(spark, f"{path}/{directory}")[0], True)
+
+
+def commit(df: DataFrame, path: str) -> None:
+    """K4: replace the table at ``path``; readers of ``committed`` see the old one or the new one, whole."""
+    directory = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{directory}")
+    commit_parts(df.sparkSession, path, {"": directory})
+
+
+def committed(spark: SparkSession, path: str, parts: Sequence[str] | None = None) -> DataFrame:
+    """The table that ``commit`` or ``commit_parts`` put at ``path``, or some parts of it."""
+    m = _manifest(spark, path)
+    if m is None:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(*[f"{path}/{d}" for p, d in sorted(m["parts"].items()) if parts is None or p in parts])
+
+
+def committed_parts(spark: SparkSession, path: str) -> set[str]:
+    """Names of the parts that a table has; none where there is no table."""
+    return set((_manifest(spark, path) or {"parts": {}})["parts"])
 
 
 def write_by_bucket(df: DataFrame, path: str, key: str, buckets: int = 64) -> None:
@@ -111,7 +156,38 @@ def feed_items(df: DataFrame, title: str, link: str, at: str, n: int = 20) -> Da
     return newest.select(F.concat(F.lit("<item><title>"), escape_html(F.col(title)), F.lit("</title><link>"), escape_html(F.col(link)), F.lit("</link><pubDate>"), stamp, F.lit("</pubDate></item>")).alias("item"))
 
 
-def sitemap(df: DataFrame, group: str, link: str, base: str) -> DataFrame:
-    """One URL set per group."""
-    urls = F.transform(F.sort_array(F.collect_list(link)), lambda x: F.concat(F.lit(f"<url><loc>{base}"), x, F.lit("</loc></url>")))
-    return df.groupBy(group).agg(F.array_join(urls, "").alias("urlset"))
+def atom_entries(df: DataFrame, title: str, link: str, at: str, n: int = 20) -> DataFrame:
+    """The n latest as Atom entries, one text per row."""
+    from millrace.functions.scalar import escape_html
+
+    newest = df.where(F.col(at).isNotNull()).orderBy(F.desc(at), link).limit(n)
+    stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return newest.select(F.concat(F.lit("<entry><title>"), escape_html(F.col(title)), F.lit('</title><link href="'), escape_html(F.col(link)), F.lit('"/><id>'), escape_html(F.col(link)), F.lit("</id><updated>"), stamp, F.lit("</updated></entry>")).alias("entry"))
+
+
+def _in_blocks(df: DataFrame, group: str, order: list, line, size: int) -> DataFrame:
+    """``group, block, lines``: the lines of each group in order, ``size`` of them to a row, so no group need fit a task."""
+    placed = numbered(df, [group], order, "_k").withColumn("block", F.expr(f"(_k - 1) div {size}"))
+    return placed.groupBy(group, "block").agg(F.sort_array(F.collect_list(F.struct("_k", line.alias("line")))).alias("l")).select(group, "block", F.col("l.line").alias("lines"))
+
+
+def sitemap(df: DataFrame, group: str, link: str, base: str, size: int = 50_000) -> DataFrame:
+    """URL sets per group, 50,000 addresses to a set, as the protocol asks."""
+    url = F.concat(F.lit(f"<url><loc>{base}"), F.col(link), F.lit("</loc></url>"))
+    return _in_blocks(df, group, [F.asc(link)], url, size).select(group, "block", F.array_join("lines", "").alias("urlset"))
+
+
+def markdown_tables(df: DataFrame, group: str, columns: Sequence[str], size: int = 1000) -> DataFrame:
+    """A Markdown table per group of its rows in the order of ``columns``, in blocks of ``size`` rows; bars are escaped, nulls empty."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+    head = "| " + " | ".join(columns) + " |\n|" + " --- |" * len(columns) + "\n"
+    return _in_blocks(df, group, [F.asc(c) for c in columns], line, size).select(group, "block", F.concat(F.lit(head), F.array_join("lines", "\n")).alias("markdown"))
+
+
+def llms_txt(df: DataFrame, group: str, title: str, link: str, about: str, size: int = 1000) -> DataFrame:
+    """A section of llms.txt per group: a heading and a list of links with what they hold, in blocks of ``size``."""
+    said = F.coalesce(F.concat(F.lit(": "), F.col(about)), F.lit(""))
+    line = F.concat(F.lit("- ["), F.col(title), F.lit("]("), F.col(link), F.lit(")"), said)
+    blocks = _in_blocks(df, group, [F.asc(title), F.asc(link)], line, size)
+    return blocks.select(group, "block", F.concat(F.lit("## "), F.col(group), F.lit("\n\n"), F.array_join("lines", "\n")).alias("section"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,7 +64,8 @@ def _python(text: str) -> Iterator[Row]:
 
 def _by_pattern(text: str, kind: str) -> Iterator[Row]:
     functions, classes = DECLARED[kind]
-    line = lambda at: text.count("\n", 0, at) + 1
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    line = lambda at: bisect_left(breaks, at) + 1
     found = [(m.start(), m.end(), next(g for g in m.groups() if g)) for m in re.finditer(functions, text)]
     for at, _, name in found:
         yield "symbol", name, "function", "", line(at)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from millrace.operators.relational import latest_wins
-from millrace.sources.readers import exists
-from millrace.sources.sinks import commit
+from millrace.session import release, saved
+from millrace.sources.sinks import commit_parts, committed, committed_parts
 
 
 def file_stream(spark: SparkSession, directory: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -19,24 +20,34 @@ def file_stream(spark: SparkSession, directory: str, schema, files_per_trigger:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(directory)
 
 
-def upsert_stream(stream: DataFrame, path: str, key: Sequence[str], version: Sequence[str], checkpoint: str) -> StreamingQuery:
+def upsert_stream(stream: DataFrame, path: str, key: Sequence[str], version: Sequence[str], checkpoint: str, buckets: int = 16) -> StreamingQuery:
     """Merge everything new into the table at ``path``, latest version of each key; ends when caught up.
 
-    A batch that is run again after a failure merges to the same table, so the result is exact.
+    The table lies in buckets by key; a batch reads and writes those it touches, and one commit puts
+    them all in place. A batch that is run again after a failure merges to the same table, so the
+    result is exact. Read it with ``sinks.committed``.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(path) if exists(spark, f"{path}/_SUCCESS") else batch.limit(0)
-        commit(latest_wins(old, batch.select(*old.columns), key, version), path)
+        new = saved(batch.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")), "upsert-batch")
+        touched = {str(r[0]) for r in new.select("_bucket").distinct().collect()}
+        held = sorted(touched & committed_parts(spark, path))
+        rows = new.drop("_bucket")
+        merged = latest_wins(committed(spark, path, held).select(*rows.columns) if held else rows.limit(0), rows, key, version)
+        directory = f"v-{uuid.uuid4().hex}"
+        merged.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")).repartition(max(1, len(touched)), "_bucket").write.partitionBy("_bucket").parquet(f"{path}/{directory}")
+        if touched:
+            commit_parts(spark, path, {b: f"{directory}/_bucket={b}" for b in touched})
+        release(new)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tumbling(events: DataFrame, at: str, width: str = "1 day", late: str = "2 hours", *by: str) -> DataFrame:
-    """Events counted in tumbling windows, late ones up to the watermark; batch or stream."""
+def tumbling(events: DataFrame, at: str, width: str = "1 day", late: str = "2 hours", by: Sequence[str] = (), value: str = "value") -> DataFrame:
+    """Events counted and ``value`` summed in tumbling windows, late ones up to the watermark; batch or stream."""
     e = events.withWatermark(at, late) if events.isStreaming else events
-    return e.groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), *by, "n", "value")
+    return e.groupBy(F.window(at, width), *by).agg(F.count("*").alias("n"), F.sum(value).alias(value)).select(F.col("window.start").alias("start"), *by, "n", value)
 
 
 def sessions(events: DataFrame, at: str, user: str, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
@@ -61,8 +72,3 @@ def shared_values(stream: DataFrame) -> DataFrame:
     The state of a key holds three repositories at most. ``stream`` has ``key, repo_id``.
     """
     return stream.groupBy("key").applyInPandasWithState(_seen, "key string, shared long", "repos array<long>", "update", "NoTimeout")
-
-
-def budgeted(items: DataFrame, order: list, most: int) -> DataFrame:
-    """The first ``most`` items of a run in a total order."""
-    return items.orderBy(*order).limit(most)

@@ -58,7 +58,7 @@ def test_write_only_what_changed(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 10), (2, "b", 10)], "id int, v string, generated int")
     assert sinks.write_if_changed(df, path, ["generated"])
     assert not sinks.write_if_changed(df.selectExpr("id", "v", "11 as generated").orderBy("v"), path, ["generated"])
-    assert sinks.write_if_changed(df.where("id = 1"), path, ["generated"]) and spark.read.parquet(path).count() == 1
+    assert sinks.write_if_changed(df.where("id = 1"), path, ["generated"]) and sinks.committed(spark, path).count() == 1
     changed = sinks.changed_rows(spark.createDataFrame([(1, "a", 1), (2, "c", 1), (3, None, 1)], "id int, v string, generated int"), df, ["id"], ["generated"])
     assert sorted(r["id"] for r in changed.collect()) == [2, 3]
 
@@ -89,7 +89,7 @@ def test_streamed_upsert_is_exact_over_runs(spark, tmp_path):
     spark.createDataFrame([(1, 2, "c"), (2, 0, "old")], "k int, ver int, v string").write.mode("append").parquet(src)
     run()
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 2, "c"), (2, 1, "b")]
+    assert sorted(tuple(r) for r in sinks.committed(spark, out).collect()) == [(1, 2, "c"), (2, 1, "b")]
 
 
 def test_shared_values_stream(spark, tmp_path):
