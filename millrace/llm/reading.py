@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from millrace.session import saved
 
 LANGUAGES = ["en", "de", "es", "fr", "it", "pt", "nl"]
-#: Common function words by which a passage's language shows (fixed values).
+#: Languages with syllable rules and formulas of their own; the others are graded by LIX and RIX, which ask for no syllables.
+OWN_FORMULAS = ["en", "de", "es"]
+#: The commonest function words of each language, by which a passage's language shows (fixed values).
 FUNCTION_WORDS = {
-    "en": "the a an and or but if of in on at to for with from by is are was were be been it its this that these those each every one when while so because as after before not no than then there which who what how has have had will can may all any some into over under about between insofar although whereas whenever",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber wenn von in im am an auf zu zur zum für mit aus bei ist sind war waren nicht kein es sich dass als auch nur so noch nach vor über unter während obwohl weil wohingegen sofern ungeachtet wie wird werden hat haben jede jeder jedes dieser diese dieses",
-    "es": "el la los las un una unos unas y o pero si de del en al a por para con sin sobre es son era no ni que como cuando donde porque aunque mientras se su sus lo le ya muy más este esta estos estas cada tras hasta desde entre cual antes",
+    "en": "the a an and or but if of in on at to for with from by is are was were be been it its this that these those each every one when while so because as after before not no than then there which who what how has have had will can may all any some into over under about between",
+    "de": "der die das den dem des ein eine einen einem einer und oder aber wenn von in im am an auf zu zur zum für mit aus bei ist sind war waren nicht kein es sich dass als auch nur so noch nach vor über unter wie wird werden hat haben jede jeder jedes dieser diese dieses",
+    "es": "el la los las un una unos unas y o pero si de del en al a por para con sin sobre es son era no ni que como cuando donde porque se su sus lo le ya muy más este esta estos estas cada hasta desde entre",
     "fr": "le la les un une des et ou mais si de du en au aux pour avec sans sur dans par est sont était ne pas que qui comme quand où parce se sa son ses ce cette ces plus très après avant chaque",
     "it": "il lo la gli le un uno una e o ma se di del della dei in nel nella per con senza su da è sono era non che come quando dove perché si suo sua questo questa ogni più molto dopo prima",
     "pt": "o a os as um uma e ou mas se de do da dos das em no na nos nas por para com sem sobre é são era não que como quando onde porque seu sua este esta cada mais muito após antes",
@@ -102,24 +104,39 @@ def passages(text: str) -> list[str]:
     return out
 
 
-_VOWELS = {
-    "en": re.compile(r"[aeiouy]+"),
-    "de": re.compile(r"aa|ee|oo|ie|ei|ai|au|eu|äu|ey|ay|[aeiouyäöü]"),
-    "es": re.compile(r"[aeoáéó]?[iuü]?[aeoáéó][iuy]?(?![aeoáéóíú])|[íú]|[aeiouáéóü]"),
-}
-_SILENT = re.compile(r"(?:[^aeiouytd]ed|[^aeiouylscxz]es|[^aeiouyl]e|[aeiouy][^aeiouy]?le?s?e)$")
-_HIATUS = re.compile(r"ia(?!l$|n$)|io(?!n)|iu|eo(?!u)|ua(?=[lt])|ying|[aeiouy]ism$|ier$|iest$")
+# One syllable's vowels. German: what is spoken as one. Spanish: a strong vowel with the weak ones beside it.
+_GERMAN = re.compile(r"aa|ee|oo|ie(?!ll)|ei|ai|au|eu(?!m$|s$)|äu|ey|ay|oy|[aeiouyäöü]")
+_SPANISH = re.compile(r"[iuü]?[aeoáéó](?:[iuü](?![aeoáéóíú])|y$)?|[iuü]?[íú]|[iuü]+y?$|[iuü]+|y$")
+_ENGLISH = re.compile(r"[aeiouy]+")
+# German prefixes before a vowel of their own, and the u of qu, that is none.
+_BE_GE = re.compile(r"^(be|ge)(?=e(?:nd|rb|rd|hr|ig|il|in|ng))")
+_QU = re.compile(r"qu")
+# English: vowels side by side that are two syllables, written from the sound's rule to its exceptions.
+_APART = re.compile(
+    r"ia(?!ge|nce$|n$|ns$|l$|lly$|ls$)|(?<![cstgx])ia(?=n|l)|(?<![cstg])(?<!ll)io(?!u)|[^cstgx]iou|iu|eo(?!u|ple|n$|ns$|nd)|[^gq]ua(?=[lt])|[^gq]uo(?!y)|(?<=cr)ea(?=t(?!ur))|(?<=r)ea(?=li|ct|pp|ss|rr)|(?<=id)ea|(?<=ar)ea|(?<=th)ea(?=t)|oe(?=t|m)"
+    r"|(?<=[lrdqvp])ie(?=t|n[ct])|(?<=c)ie(?=ty)|ei(?=ty)|(?<=sc)ie|ie(?=r$|st$)|[aeouy]i(?=ng)|yi|[fdr]ue(?=l)|uou|(?<=^c)oo(?=[pr]d|pe)|[aeiouy][^aeiouy]*(?<=s)m$"
+)
+_MUTE = re.compile(r"(?:[^aeiouytd]ed|[^aeiouylscxzgh]es|[^cs]hes|[gq]ue|[^aeiouyl]e|[aeiouy]le|[aeiouy][^aeiouyl]?les)$")
+_SHORT = re.compile(r"[^aeiouy](?:les?|res?)$")
+# A mute e inside a word, before an ending that begins with a consonant.
+_INNER = re.compile(r"(?<=[aeiouy])[^aeiouyl]e(?=(?:ment|ments|ly|ful|less|ness|some)$)")
 
 
 def syllables(word: str, lang: str) -> int:
-    """Syllables by the rules by which words are hyphenated: vowel groups, silent endings, hiatus."""
+    """Syllables of a word in English, German or Spanish, by rules of how it is hyphenated."""
     w = word.lower()
+    if lang == "es":
+        return max(1, len(_SPANISH.findall(_QU.sub("q", w.replace("gue", "ge").replace("gui", "gi")))))
+    if lang == "de":
+        split = len(_BE_GE.findall(w))
+        return max(1, len(_GERMAN.findall(_BE_GE.sub("b", _QU.sub("q", w)))) + split)
     if lang != "en":
-        return max(1, len(_VOWELS.get(lang, _VOWELS["de" if lang == "nl" else "es"]).findall(w)))
-    if len(w) <= 3:
+        raise ValueError(f"no syllable rules for {lang}")
+    if len(w) <= 2:
         return 1
-    n = len(_VOWELS["en"].findall(w)) + len(_HIATUS.findall(w))
-    if _SILENT.search(w) and not re.search(r"[^aeiouy]les?$", w):
+    w = _QU.sub("q", w)
+    n = len(_ENGLISH.findall(w)) + len(_APART.findall(w)) - len(_INNER.findall(w))
+    if _MUTE.search(w) and not _SHORT.search(w):
         n -= 1
     return max(1, n)
 
@@ -127,7 +144,7 @@ def syllables(word: str, lang: str) -> int:
 #: What is kept of a token: word, letters, syllables in en, de and es, whether it may end and begin a
 #: sentence, then a mark for each language it is a function word of.
 _MARKS = {w: [w in set(FUNCTION_WORDS[lang].split()) for lang in LANGUAGES] for lang in LANGUAGES for w in FUNCTION_WORDS[lang].split()}
-_SYLLABLES = {"en": 2, "de": 3, "nl": 3, "es": 4, "fr": 4, "it": 4, "pt": 4}
+_SYLLABLES = {"en": 2, "de": 3, "es": 4}
 _END, _OPEN, _MARK = 5, 6, 7
 _BREAK = [0] * _END + [1, 1] + [0] * len(LANGUAGES)
 
@@ -164,21 +181,22 @@ FEATURES = ["words", "sentences", "syllables", "letters", "poly", "long", "mono"
 
 
 def _grades(x: dict[str, np.ndarray], lang: np.ndarray) -> np.ndarray:
-    """Grade estimates, one row each (published formulas; their coefficients are fixed values)."""
+    """Median of the grade estimates (published formulas; their coefficients are fixed values)."""
     w, s = np.maximum(x["words"], 1), np.maximum(x["sentences"], 1)
     per_s, syl, let = w / s, x["syllables"] / w, x["letters"] / w
-    poly, long, mono = 100 * x["poly"] / w, 100 * x["long"] / w, 100 * x["mono"] / w
+    poly, long = 100 * x["poly"] / w, 100 * x["long"] / w
     ari = 4.71 * let + 0.5 * per_s - 21.43
     lix = (per_s + long - 8) / 4
+    rix = np.interp(x["long"] / s, [0, 0.2, 0.5, 0.8, 1.3, 1.8, 2.4, 3.0, 3.7, 4.5, 5.3, 6.2, 7.2, 27.2], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 32])
     # SMOG is left out: it is defined for thirty sentences and more, which most documents don't have.
-    en = np.stack([0.39 * per_s + 11.8 * syl - 15.59, 0.4 * (per_s + poly), ari, 0.0588 * 100 * let - 0.296 * 100 / per_s - 15.8, lix])
+    en = [0.39 * per_s + 11.8 * syl - 15.59, 0.4 * (per_s + poly), ari, 0.0588 * 100 * let - 0.296 * 100 / per_s - 15.8, lix]
     amstad = 180 - per_s - 58.5 * syl
-    first, second = 0.1935 * poly + 0.1672 * per_s + 0.1297 * long - 0.0327 * mono - 0.875, 0.2007 * poly + 0.1682 * per_s + 0.1373 * long - 2.779
-    de = np.stack([first, second, 0.2963 * poly + 0.1905 * per_s - 1.1144, (100 - amstad) / 6, lix])
+    second = 0.2007 * poly + 0.1682 * per_s + 0.1373 * long - 2.779
+    de = [second, 0.2963 * poly + 0.1905 * per_s - 1.1144, 0.2744 * poly + 0.2656 * per_s - 1.693, (100 - amstad) / 6, lix]
     huerta = 206.84 - 60 * syl - 1.02 * per_s
-    inflesz = 206.835 - 62.3 * syl - per_s
-    es = np.stack([(-0.205 * 100 / per_s) + 0.049 * 100 * syl - 3.407, (100 - huerta) / 6, (100 - inflesz) / 6, 0.4 * (per_s + poly), lix])
-    return np.where(lang == "en", en, np.where((lang == "de") | (lang == "nl"), de, es))
+    es = [(100 - huerta) / 6, 0.4 * (per_s + poly), lix]
+    of = {"en": en, "de": de, "es": es}
+    return np.select([lang == k for k in of], [np.median(np.stack(v), axis=0) for v in of.values()], (lix + rix) / 2)
 
 
 def _measure(doc: str, text: str):
@@ -232,11 +250,11 @@ def _described(ids: pa.Array, flat: np.ndarray, sizes: np.ndarray, own: np.ndarr
         sums["sentences"] = total(filled & ours[passage[first]], whose, n)
         kept = is_word & ours[passage]
         w, d = flat[kept], own[passage[kept]]
-        syl, let = facts[w, np.array([_SYLLABLES[x] for x in LANGUAGES])[lang][d]], facts[w, 1]
+        syl, let = facts[w, np.array([_SYLLABLES.get(x, 2) for x in LANGUAGES])[lang][d]], facts[w, 1]
         for f, v in (("words", np.ones(len(w))), ("syllables", syl), ("letters", let), ("poly", syl >= 3), ("long", let > 6), ("mono", syl == 1)):
             sums[f] = total(v, d, n)
         names = np.array(LANGUAGES)[lang]
-    grade = np.where(sums["words"] > 0, np.median(_grades(sums, names), axis=0), 0.0)
+    grade = np.where(sums["words"] > 0, _grades(sums, names), 0.0)
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(names.tolist()), *(pa.array(sums[f].astype(np.int64)) for f in FEATURES), pa.array(grade)], names=["doc", "lang", *FEATURES, "grade"]
     )
@@ -252,44 +270,55 @@ def reading_grades(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.mapInArrow(_measure("doc", "text"), f"doc {dict(docs.dtypes)['doc']}, lang string, {counts}, grade double")
 
 
-#: Ratings from which a language gets cuts of its own.
-OWN_RATINGS = 60
+#: How many ratings of its own a language needs to outweigh the shares of levels that the best-rated language has.
+SHARE_WEIGHT = 30.0
+#: Points at which the distribution of each language's grades is known.
+KNOTS = 400
 
 
-def fit_cuts(grade: np.ndarray, level: np.ndarray, levels: int) -> np.ndarray:
+def fit_cuts(grade: np.ndarray, level: np.ndarray, levels: int, knots: np.ndarray | None = None, shares: np.ndarray | None = None) -> np.ndarray:
     """Cuts between successive levels with the fewest rated documents on the wrong side; never falling.
 
-    A level that no rating reaches, at either end, is never given.
+    With ``shares``, the part of all documents below each cut that is expected, a cut off it counts as
+    SHARE_WEIGHT ratings times the part of documents between. Of cuts equally good to one rating
+    the one where documents (``knots``, equal parts of them between) are sparsest is taken, without
+    knots the middle one. Without shares a level that no rating reaches, at either end, is never given.
     """
     order = np.argsort(grade, kind="stable")
-    g, out = np.concatenate([[-np.inf], grade[order], [np.inf]]), []
+    g, v, out = grade[order], level[order], []
+    at = np.concatenate([[-np.inf], (g[:-1] + g[1:]) / 2, [np.inf]])
+    if knots is not None and len(knots) > 1:
+        at = np.union1d(at, (knots[:-1] + knots[1:]) / 2)
+        spread = np.interp(at, (knots[:-1] + knots[1:]) / 2, np.convolve(np.pad(np.diff(knots), 1, mode="edge"), [0.5, 1.0, 0.5], "valid"))
+        below = np.searchsorted(knots, at) / len(knots)
+    rated_below = np.searchsorted(g, at)
     for k in range(1, levels):
-        above = level[order] > k
-        wrong = np.concatenate([[0], np.cumsum(above)]) + (~above).sum() - np.concatenate([[0], np.cumsum(~above)])
-        best = np.flatnonzero(wrong == wrong.min())
-        i = best[len(best) // 2]
-        out.append((g[i] + g[i + 1]) / 2)
+        above = v > k
+        wrong = np.concatenate([[0], np.cumsum(above)])[rated_below] + (~above).sum() - np.concatenate([[0], np.cumsum(~above)])[rated_below]
+        if knots is None or len(knots) < 2:
+            best = np.flatnonzero(wrong == wrong.min())
+            out.append(at[best[len(best) // 2]])
+            continue
+        cost = wrong + (SHARE_WEIGHT * np.abs(below - shares[k - 1]) if shares is not None else 0.0)
+        best = np.flatnonzero(cost <= cost.min() + 1)
+        if shares is None and (above.all() or not above.any()):
+            out.append(-np.inf if above.all() else np.inf)
+        else:
+            out.append(at[best[np.where(np.isfinite(at[best]), spread[best], -1).argmax()]])
     return np.maximum.accumulate(np.array(out))
 
 
-def _scales(lang: np.ndarray, grade: np.ndarray, level: np.ndarray, levels: int) -> dict[str, np.ndarray]:
-    """Cuts of each language. One with few ratings is laid on the scale of the best-rated by a line."""
+def _scales(lang: np.ndarray, grade: np.ndarray, level: np.ndarray, levels: int, knots: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Cuts of each language: by its own ratings, and by the shares of levels in the best-rated language, the more the fewer it has."""
     if not len(grade):
         return {x: np.array(USUAL_CUTS[: levels - 1]) for x in LANGUAGES}
     names, counts = np.unique(lang, return_counts=True)
     main = names[counts.argmax()]
-    own = lang == main
-    cuts = {x: fit_cuts(grade[lang == x], level[lang == x], levels) for x, n in zip(names, counts) if n >= OWN_RATINGS or x == main}
-    seen = np.unique(level[own])
-    usual = np.interp(level, seen, [np.median(grade[own & (level == v)]) for v in seen])
+    cuts = {main: fit_cuts(grade[lang == main], level[lang == main], levels, knots[main])}
+    shares = np.searchsorted(knots[main], cuts[main]) / len(knots[main])
     for x in LANGUAGES:
-        if x in cuts:
-            continue
-        ours = lang == x
-        # Ridge towards the identity, so that no or few ratings leave the formulas' own scale.
-        a = np.vstack([np.column_stack([grade[ours], np.ones(ours.sum())]), [[1.0, 0.0], [0.0, 0.1]]])
-        slope, shift = np.linalg.lstsq(a, np.concatenate([usual[ours], [1.0, 0.0]]), rcond=None)[0]
-        cuts[x] = (cuts[main] - shift) / max(slope, 0.2)
+        if x != main:
+            cuts[x] = fit_cuts(grade[lang == x], level[lang == x], levels, knots[x], shares) if x in knots else cuts[main]
     return cuts
 
 
@@ -299,7 +328,9 @@ def reading_levels(
     """``doc, lang, words, sentences, ..., grade, level`` for every document of LEAST_WORDS words or more.
 
     ``level`` runs from 1, the easiest, to ``levels``. Cuts are fitted on at most ``most_rated`` rated
-    documents, taken by hash where there are more; a document's rating is the median of its raters.
+    documents, taken by hash where there are more, and on the distribution of all documents' grades in
+    each language; a document's rating is the median of its raters. Languages without formulas of
+    their own are graded by LIX and RIX.
     Everything else reads every document whole.
 
     Defined cases: null and empty texts, and texts of fewer words between white space, get no row; a
@@ -311,8 +342,11 @@ def reading_levels(
     grades = saved(reading_grades(documents, doc_id, text), "grades")
     rated = ratings.select(F.col(rated_doc).alias("doc"), F.col(level).cast("double").alias("v")).where(f"doc is not null and v between 1 and {levels}")
     rated = rated.groupBy("doc").agg(F.percentile("v", 0.5).alias("v")).orderBy(F.xxhash64("doc"), "doc").limit(most_rated)
-    known = grades.where("words > 0").select("doc", "lang", "grade").join(F.broadcast(rated), "doc").select("lang", "grade", "v").limit(2 * most_rated).toPandas()
-    cuts = _scales(known["lang"].to_numpy(str), known["grade"].to_numpy(float), known["v"].to_numpy(float), levels)
+    # A document that stands repeatedly is rated once, by its first grade.
+    once = grades.where("words > 0").join(F.broadcast(rated), "doc").groupBy("doc", "v").agg(F.min(F.struct("lang", "grade")).alias("g"))
+    known = once.select("g.lang", "g.grade", "v").toPandas()
+    parts = grades.where("words > 0").groupBy("lang").agg(F.percentile_approx("grade", [i / KNOTS for i in range(KNOTS + 1)], 10_000).alias("q")).collect()
+    cuts = _scales(known["lang"].to_numpy(str), known["grade"].to_numpy(float), known["v"].to_numpy(float), levels, {r["lang"]: np.array(r["q"]) for r in parts})
     steps = F.create_map(*[x for lang in LANGUAGES for x in (F.lit(lang), F.array(*[F.lit(float(c)) for c in cuts[lang]]))])
     reached = F.size(F.filter(steps[F.col("lang")], lambda c: F.col("grade") > c))
     return grades.select("*", (reached + 1).cast("long").alias("level"))
