@@ -55,3 +55,17 @@ def self_pairs(df: DataFrame, on: Sequence[str], ident: str, keep: Column, total
         on_all = on_all & c
     ordered = (F.col(f"a.{ident}") < F.col(f"b.{ident}")) | ((F.col("a._bi") < F.col("b._bj")) & (F.col(f"a.{ident}") != F.col(f"b.{ident}")))
     return a.join(b, on_all & ordered & keep)
+
+
+def dealt_join(many: DataFrame, few: DataFrame, on: Sequence[str], ident: str, block: int = 100_000) -> DataFrame:
+    """Inner join on keys that repeat on both sides; a key with more than ``block`` rows of ``many`` is dealt.
+
+    Its rows of ``many`` go to as many places as it has blocks, by a hash of ``ident``, and its rows of
+    ``few`` to each of them, so no task gets a hot key whole. No name may begin with an underscore.
+    """
+    counts = many.groupBy(*on).agg(F.ceil(F.count("*") / block).cast("int").alias("_k")).where("_k > 1")
+    # Keys above a block each: at most as many as there are blocks of rows.
+    places = F.coalesce("_k", F.lit(1))
+    left = many.join(counts, list(on), "left").withColumn("_i", F.pmod(F.xxhash64(ident), places).cast("int")).drop("_k")
+    right = few.join(counts, list(on), "left").withColumn("_i", F.explode(F.sequence(F.lit(0), places - 1))).drop("_k")
+    return left.join(right, [*on, "_i"]).drop("_i")

@@ -77,6 +77,21 @@ def louvain(spark: SparkSession, root: str) -> DataFrame:
     return graph.communities(kin_edges(spark, root), "src", "dst", "sim", KIN_AT)
 
 
+def partition_bounds(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of any communities and labels: every tied node has one label, no community or label leaves its component, none of one node."""
+    e = saved(kin_edges(spark, root).where(F.col("sim") >= KIN_AT), "strong-edges")
+    comp = saved(connected_components(e), "component-of")
+
+    def told(rows: DataFrame, group: str) -> DataFrame:
+        r = saved(rows, "told")
+        across = r.join(comp, "node").groupBy(group).agg(F.count_distinct("component").alias("c"), F.count("*").alias("n"))
+        found = r.agg(F.count("*").alias("rows"), F.count_distinct("node").alias("nodes"))
+        return across.agg(F.count_if(F.col("c") > 1).alias("across"), F.count_if(F.col("n") < 2).alias("alone")).join(found).select(F.lit(group).alias("partition"), (F.col("rows") - F.col("nodes")).alias("repeated"), "across", "alone", "nodes")
+
+    labels, groups = told(graph.label_propagation(e), "label"), told(graph.communities(e, "src", "dst", "sim", KIN_AT), "community")
+    return labels.unionByName(groups.withColumn("alone", F.col("alone")))
+
+
 def label_propagation(spark: SparkSession, root: str) -> DataFrame:
     """Labels after six passes over the strong similarity graph."""
     return graph.label_propagation(kin_edges(spark, root).where(F.col("sim") >= KIN_AT))
@@ -133,7 +148,7 @@ _TREE = "WITH p AS (SELECT DISTINCT repo_id, manifest_path AS f, string_split(ma
 QUERIES = {
     f.__name__: f
     for f in (
-        part_edges, degree_instability, hub_parts, reverse_closure, closure_depths, components, fork_components, scc, louvain, label_propagation, document_tree, fork_roots, strongest_links, two_hops,
+        part_edges, degree_instability, hub_parts, reverse_closure, closure_depths, components, fork_components, scc, louvain, label_propagation, partition_bounds, document_tree, fork_roots, strongest_links, two_hops,
         nation_trade, corroborated_kin,
     )
 }
@@ -145,6 +160,8 @@ SQL = {
     "closure_depths": _CLOSE.format(ctes=f"{_PE}, {_BUSY.format(e='pe')}", e="pe") + " SELECT depth, count(*) AS n FROM best GROUP BY 1",
     "components": _CC.format(ctes=f"{_KE}, strong AS (SELECT src, dst FROM ke WHERE sim >= {KIN_AT})", e="strong"),
     "fork_components": _CC.format(ctes=_FE, e="fe"),
+    "scc": f"WITH RECURSIVE e AS (SELECT DISTINCT id AS u, neighbour_id AS v FROM kin WHERE similarity >= {KIN_AT} AND id <> neighbour_id), r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT a.u AS node, least(a.u, min(a.v)) AS scc FROM r a JOIN r b ON a.u = b.v AND a.v = b.u WHERE a.u <> a.v GROUP BY a.u",
+    "partition_bounds": f"WITH {_KE}, n AS (SELECT count(*) AS nodes FROM (SELECT src FROM ke WHERE sim >= {KIN_AT} UNION SELECT dst FROM ke WHERE sim >= {KIN_AT})) SELECT p AS \"partition\", 0 AS repeated, 0 AS across, 0 AS alone, nodes FROM n, (VALUES ('label'), ('community')) t(p)",
     "document_tree": _TREE,
     "fork_roots": f"WITH {_FE} SELECT DISTINCT id FROM repo WHERE id NOT IN (SELECT dst FROM fe)",
     "strongest_links": f"WITH {_KE} SELECT src, dst, sim FROM ke WHERE sim >= 0.55 AND src IN (SELECT id FROM repo) AND dst IN (SELECT id FROM repo) ORDER BY sim DESC, src, dst LIMIT 900",

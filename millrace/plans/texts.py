@@ -186,6 +186,14 @@ _EMB = "left(array_to_string(list_filter([title, source, text], lambda p : p IS
 _SLUG = "regexp_replace(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _LINES = "regexp_split_to_array(text, '\\n')"
 
+_FENCED = "regexp_extract(a, '(?is)^`{3,}\\s*(?:markdown|md)?\\s*\\n(.*?)\\n`{3,}\\s*$', 1)"
+_ARTICLE = (
+    "WITH a AS (SELECT doc_id, trim(regexp_replace(text, '\\r\\n?', chr(10), 'g'), ' ') AS a FROM documents WHERE source = 'article' AND text IS NOT NULL), "
+    f"b AS (SELECT doc_id, trim(CASE WHEN regexp_matches(a, '(?is)^`{{3,}}\\s*(?:markdown|md)?\\s*\\n(.*?)\\n`{{3,}}\\s*$') THEN {_FENCED} ELSE a END, ' ') AS b FROM a), "
+    "c AS (SELECT doc_id, CASE WHEN len(regexp_extract_all(b, '(?m)^\\s*`{3,}')) % 2 = 1 THEN b || chr(10) || '```' ELSE b END AS c FROM b) "
+    "SELECT doc_id, md5(trim(regexp_replace(c, '\\n{3,}', chr(10) || chr(10), 'g'), ' ')) AS cleaned FROM c"
+)
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -204,6 +212,7 @@ SQL = {
     "fallback_gate": f"SELECT source, (text IS NULL OR length(text) < 400 OR {_TRUNC} OR {_FILL}) AS fallback, count(*) AS n FROM documents GROUP BY 1, 2",
     "text_entropy": "WITH c AS (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(string_split(title, '')) AS c FROM documents WHERE title IS NOT NULL) GROUP BY 1, 2) SELECT doc_id, floor(-sum(n / t * log2(n / t)) * 1000000.0 + 0.5) / 1000000.0 AS bits FROM c GROUP BY 1",
     "plain_text": f"SELECT doc_id, length(trim({_PLAIN}, ' ')) AS plain_chars FROM documents WHERE text IS NOT NULL",
+    "cleaned_articles": _ARTICLE,
     "read_times": f"SELECT greatest(2, CAST(ceil({_WORDS} / 200) AS INT)) AS minutes, count(*) AS n FROM documents GROUP BY 1",
     "embedding_inputs": f"SELECT doc_id, length({_EMB}) AS chars, left(sha1('model-a' || chr(10) || {_EMB}), 16) AS hash FROM documents",
     "stale_embeddings": "WITH h AS (SELECT doc_id, coalesce(text, '') AS t, lag(coalesce(text, '')) OVER (PARTITION BY title ORDER BY fetched_at, doc_id) AS b FROM documents WHERE title IS NOT NULL) SELECT doc_id FROM h WHERE b IS NOT NULL AND b <> t",

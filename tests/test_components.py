@@ -51,3 +51,12 @@ def test_lookup_join_keeps_every_row(spark):
     dim = df.where("k <> 'none'").groupBy("k").agg(F.count("*").alias("n"))
     got = lookup_join(df, dim, ["k"], "n", df.count())
     assert got.count() == 3050 and got.where("k = 'hot' and n = 3000").count() == 3000
+
+
+def test_dealt_join_of_a_hot_key_is_a_join(spark):
+    from millrace.operators.skew import dealt_join
+
+    many = spark.range(3000).selectExpr("id", "case when id % 3 = 0 then 1 else id end as k")
+    few = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (9999, "d")], "k long, v string")
+    got = sorted(tuple(r) for r in dealt_join(many, few, ["k"], "id", 100).select("id", "v").collect())
+    assert got == sorted(tuple(r) for r in many.join(few, "k").select("id", "v").collect()) and len(got) > 2000
