@@ -88,7 +88,9 @@ def idf_overlap(pairs: DataFrame, ident: str, term: str, least: float = 0.12, ca
 
     A record's most common terms, as long as their part of its length stays below ``least``, can't tie
     it to anything by themselves, so the lists that meet leave them out: exact, and the longest lists
-    are the ones that go. Pairs found are then weighed over all their terms.
+    are the ones that go. What two records share beyond their lists is at most the square of the
+    greater part left out, so pairs that can't reach ``least`` even with it go before terms are
+    fetched; the others are weighed over all their terms.
     """
     sets = saved(pairs.select(F.col(ident).alias("id"), F.col(term).alias("t")).dropna().distinct(), "terms")
     n = sets.select("id").distinct().count()
@@ -99,10 +101,17 @@ def idf_overlap(pairs: DataFrame, ident: str, term: str, least: float = 0.12, ca
     norms = saved(norms.withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)), "norms")
     tying = saved(weighted.where((F.col("df") >= 2) & (F.col("df") <= max(2, int(n * cap)))), "tying-terms")
     common = Window.partitionBy("id").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
-    part = tying.withColumn("part", F.sqrt(F.sum(F.col("w") * F.col("w")).over(common))).join(norms, "id")
-    lists = saved(part.where(F.col("part") >= (least - 1e-9) * F.col("norm")).select("id", "t"), "term-lists")
-    met = self_pairs(lists, ["t"], "id", F.lit(True), lists.count()).select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).distinct()
-    both = met.join(tying.select(F.col("id").alias("x"), "t", "w"), "x").join(tying.select(F.col("id").alias("y"), "t"), ["y", "t"])
+    part = tying.withColumn("part", F.sum(F.col("w") * F.col("w")).over(common)).join(norms, "id")
+    kept = part.where(F.sqrt("part") >= (least - 1e-9) * F.col("norm"))
+    # The part left out is what stands before a record's first kept term.
+    left_out = kept.groupBy("id").agg(F.min(F.col("part") - F.col("w") * F.col("w")).alias("left_out"))
+    lists = saved(kept.select("id", "t", "w", "norm").join(left_out, "id"), "term-lists")
+    met = self_pairs(lists, ["t"], "id", F.lit(True), lists.count())
+    near = met.groupBy(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).agg(
+        F.sum(F.col("a.w") * F.col("a.w")).alias("dot"), F.max(F.col("a.norm") * F.col("b.norm")).alias("norms"), F.max(F.greatest("a.left_out", "b.left_out")).alias("more")
+    )
+    near = near.where(F.col("dot") + F.col("more") >= (least - 1e-9) * F.col("norms")).select("x", "y")
+    both = near.join(tying.select(F.col("id").alias("x"), "t", "w"), "x").join(tying.select(F.col("id").alias("y"), "t"), ["y", "t"])
     dots = both.groupBy("x", "y").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "t"))).alias("terms"))
     near = lambda c: norms.withColumnsRenamed({"id": c, "norm": f"n{c}"})
     scored = dots.join(near("x"), "x").join(near("y"), "y").withColumn("s", F.col("dot") / (F.col("nx") * F.col("ny"))).where(F.col("s") >= least)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import scalar, text
 from millrace.operators import relational
-from millrace.session import saved, table
+from millrace.session import saved, spread, table
 
 
 def _documents(spark: SparkSession, root: str, *more: str) -> DataFrame:
-    return table(spark, root, "documents", "doc_id", "text", *more)
+    return spread(table(spark, root, "documents", "doc_id", "text", *more))
 
 
 def postings(spark: SparkSession, root: str) -> DataFrame:

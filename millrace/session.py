@@ -44,6 +44,15 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where its row groups leave three quarters of them idle; any larger one as it lies.
+
+    For work that is heavy per row. What is shuffled is then less than one row group for four cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only a local session may go without and gets one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
