@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.skew import lookup_join
@@ -24,18 +24,14 @@ def dictionary(counted: DataFrame, values: list[str]) -> DataFrame:
     """Values numbered 0, 1, ... in order: ``values..., pairs, term_no``.
 
     ``counted`` has one row per value with ``pairs``, its number of rows. The rows are sorted by
-    range across tasks; a task's offset is the number of values before it, so the only thing that
-    reaches the driver is one count per task.
+    range across tasks; a task's offset is the number of values before it: a table of one row a task.
     """
     ordered = saved(counted.repartitionByRange(*values).sortWithinPartitions(*values).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()), "dictionary")
-    starts, at = {}, 0
-    for r in ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first")).orderBy("_part").collect():
-        starts[r["_part"]] = at - r["first"]
-        at += r["n"]
-    if not starts:
-        return ordered.select(*values, "pairs", F.col("_id").alias("term_no"))
-    offsets = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])
-    return ordered.select(*values, "pairs", (F.col("_id") + offsets[F.col("_part")]).alias("term_no"))
+    parts = ordered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("first"))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select("_part", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("_offset"))
+    # One row a task, so it may be broadcast.
+    return ordered.join(F.broadcast(offsets), "_part").select(*values, "pairs", (F.col("_id") + F.col("_offset")).alias("term_no"))
 
 
 _SCHEMA = pa.schema([("range_no", pa.int64()), ("at", pa.list_(pa.int32())), ("occurrences", pa.list_(pa.int64())), ("records", pa.list_(pa.int64()))])

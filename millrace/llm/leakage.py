@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import saved
+from millrace.operators.skew import dealt_join
+from millrace.session import saved, spread
 
 #: Words of a k-gram, and k-grams of a window: together they guarantee runs of 13 words.
 K, WINDOW = 7, 7
@@ -155,18 +156,19 @@ def _prints(ident: str, text: str):
 
 
 def _verify(least: int) -> Callable:
-    """Longest shared run of candidate pairs, each with both texts."""
+    """Longest shared run of each document with the parts that it may share one with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in batches:
-            docs, items, runs = [], [], []
-            rows = zip(b.column("doc").to_pylist(), b.column("item").to_pylist(), b.column("text").to_pylist(), b.column("item_text").to_pylist())
-            hashes = WordHashes()
-            for d, i, text, other in rows:
-                _, _, n = Suite([(i, other)], least).runs(*_batch([text], hashes))
-                if len(n):
-                    docs.append(d), items.append(i), runs.append(int(n.max()))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, b.column("doc").type), pa.array(items, pa.int64()), pa.array(runs, pa.int64())], names=["doc", "item", "run_words"])
+            rows, items, runs = [], [], []
+            for k, (text, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist())):
+                suite = Suite([(p["item"], p["item_text"]) for p in parts], least)
+                _, item, n = suite.runs(*_batch([text], hashes))
+                rows += [k] * len(item)
+                items += item.tolist()
+                runs += n.tolist()
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), pa.array(runs, pa.int64())], names=["doc", "item", "run_words"])
 
     return run
 
@@ -186,12 +188,14 @@ def leaked_items(
 
     The item side is counted first: up to ``broadcast_words`` words it is broadcast, words and
     fingerprints together, and no document is shuffled. Beyond that, fingerprints of both sides are
-    joined in a shuffle, and the candidate pairs fetch their texts to be extended.
+    joined in a shuffle, those of boilerplate dealt over tasks, and documents fetch the texts of their
+    candidates, a hundred at a time, to be extended.
     """
     if least < K + WINDOW - 1:
         raise ValueError(f"winnowing with {K} and {WINDOW} guarantees runs of {K + WINDOW - 1} words only")
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    docs = spread(docs)
     kind = dict(docs.dtypes)["doc"]
     given = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.explode(F.array(*parts)).alias("item_text")).where("item_text is not null").distinct()
     size = given.agg(F.coalesce(F.sum(F.length("item_text")), F.lit(0))).first()[0]
@@ -203,7 +207,10 @@ def leaked_items(
         parts_ = saved(given.withColumn("part", F.monotonically_increasing_id()), "leak-parts")
         ours = docs.mapInArrow(_prints("doc", "text"), f"ident {kind}, print long").select(F.col("ident").alias("doc"), "print").distinct()
         theirs = parts_.select("part", "item_text").mapInArrow(_prints("part", "item_text"), "ident long, print long").select(F.col("ident").alias("part"), "print").distinct()
-        near = saved(ours.join(theirs, "print").select("doc", "part").distinct(), "leak-candidates")
-        pairs = docs.join(near, "doc").join(parts_, "part").select("doc", "item", "text", "item_text")
+        near = dealt_join(ours, theirs, ["print"], "doc").select("doc", "part").distinct()
+        # A document travels once for each hundred or so parts, with their texts.
+        blocks = max(1, -(-parts_.count() // 100))
+        listed = near.join(parts_, "part").groupBy("doc", F.pmod(F.xxhash64("part"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("item", "item_text")).alias("parts"))
+        pairs = docs.join(saved(listed, "leak-candidates"), "doc").select("doc", "text", "parts")
         found = pairs.mapInArrow(_verify(least), f"doc {kind}, item long, run_words long")
     return found.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("run_words").alias("run_words"))

@@ -10,15 +10,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import saved
+from millrace.session import saved, spread
 
 #: Where the public tokenizers' vocabularies lie, and the one used unless told otherwise.
 VOCABULARIES = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Largest vocabulary file that is broadcast.
+LARGEST_VOCABULARY = 64 << 20
 #: How the byte-level vocabularies split text before merging (fixed value of the public tokenizer).
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -30,11 +31,13 @@ class TokenCounter:
     pieces seen before are kept, up to ``most`` of them.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str | bytes, most: int = 300_000):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        if isinstance(path, str):
+            with open(path, "rb") as f:
+                path = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in path.splitlines() if line.strip())}
         self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(SPLIT, regex.V1).findall
         self.most = most
@@ -54,30 +57,31 @@ class TokenCounter:
 
 
 @lru_cache(maxsize=2)
-def _counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+def _counter(vocabulary: bytes) -> TokenCounter:
+    return TokenCounter(vocabulary)
 
 
-def _measure(path: str, seed: int):
+def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, row = _counter(path), 0
+        counter = _counter(shared.value)
         for b in batches:
-            ids = b.column("doc").to_pylist()
             n = [counter.count(t) if t else 0 for t in b.column("text").to_pylist()]
-            # The draw depends on the row's place too, so repeated ids don't pile up in one group.
-            draw = [xxhash.xxh3_64_intdigest(f"{seed}:{i}:{row + k}") >> 1 for k, i in enumerate(ids)]
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64()), pa.array(draw, pa.int64())], names=["doc", "n_tokens", "draw"])
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n, pa.int64())], names=["doc", "n_tokens"])
 
     return run
 
 
-def text_lengths(documents: DataFrame, doc_id: str, text: str, vocabulary: str = f"{VOCABULARIES}/{VOCABULARY}", seed: int = 0) -> DataFrame:
-    """``doc, n_tokens, draw``: tokens of every whole text, 0 for a null or empty one."""
-    if not os.path.exists(vocabulary):
-        raise FileNotFoundError(vocabulary)
-    docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    return docs.mapInArrow(_measure(vocabulary, seed), f"doc {dict(docs.dtypes)['doc']}, n_tokens long, draw long")
+def text_lengths(documents: DataFrame, doc_id: str, text: str, vocabulary: str = f"{VOCABULARIES}/{VOCABULARY}") -> DataFrame:
+    """``doc, n_tokens``: tokens of every whole text, 0 for a null or empty one.
+
+    The vocabulary, a file of at most LARGEST_VOCABULARY bytes, is read by the driver and broadcast.
+    """
+    if os.path.getsize(vocabulary) > LARGEST_VOCABULARY:
+        raise ValueError(f"{vocabulary} is too large to broadcast")
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
+    docs = spread(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")))
+    return docs.mapInArrow(_measure(shared), f"doc {dict(docs.dtypes)['doc']}, n_tokens long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -117,7 +121,7 @@ def _pack(capacity_at: int, size_at: int):
     return run
 
 
-def pack_texts(lengths: DataFrame, budgets: DataFrame, budget_id: str, capacity: str, reserve: str | None = None, group_items: int = 16_384) -> DataFrame:
+def pack_texts(lengths: DataFrame, budgets: DataFrame, budget_id: str, capacity: str, reserve: str | None = None, group_items: int = 16_384, seed: int = 0) -> DataFrame:
     """Put every text into contexts: one row for each budget and piece of a text.
 
     ``budget, context_group, context_no, doc, piece, token_start, token_end, room``: a context is one
@@ -126,7 +130,9 @@ def pack_texts(lengths: DataFrame, budgets: DataFrame, budget_id: str, capacity:
 
     ``lengths`` comes from text_lengths. ``budgets`` is small: at most 1,000 rows, checked. Texts are
     dealt at random into groups of about ``group_items`` pieces, so a group never grows with the
-    data and all groups pack at once; ties are broken by document, then piece.
+    data and all groups pack at once; ties are broken by document, then piece. The draw depends on
+    ``seed``, the document, its length and its number among equal ones, so another split of the table
+    gives the same contexts. A whole context's number is a hash of what it holds.
 
     Defined cases: a text without tokens takes no room and gets one row with a null context; a
     repeated document is an item each time; a budget that is null or has no room left packs
@@ -142,7 +148,11 @@ def pack_texts(lengths: DataFrame, budgets: DataFrame, budget_id: str, capacity:
     spark = lengths.sparkSession
     if not rooms:
         return spark.createDataFrame([], f"budget {kind_b}, context_group long, context_no long, doc {kind}, piece long, token_start long, token_end long, room long")
-    lengths = saved(lengths, "text-lengths")
+    # Rows of equal document and length are alike; numbered from their count, however many there are.
+    alike = saved(lengths.groupBy("doc", "n_tokens").agg(F.count("*").alias("c")), "text-lengths")
+    some = alike.withColumn("thousand", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / 1000))))
+    one = some.withColumn("j", F.explode(F.sequence(F.col("thousand") * 1000, F.least(F.col("c") - 1, F.col("thousand") * 1000 + 999))))
+    lengths = one.select("doc", "n_tokens", F.xxhash64(F.lit(seed), "doc", "n_tokens", "j").alias("draw"))
     each = F.array(*[F.struct(F.lit(b).cast(kind_b).alias("b"), F.lit(c).cast("long").alias("capacity")) for b, c in rooms])
     items = lengths.withColumn("budget", F.explode(each)).select("doc", "n_tokens", "draw", "budget.b", "budget.capacity")
     cuts = F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("n_tokens") - 1) / F.col("capacity"))).cast("long"))
@@ -155,7 +165,7 @@ def pack_texts(lengths: DataFrame, budgets: DataFrame, budget_id: str, capacity:
     dealt = pieces.where(small & (F.col("size") > 0)).withColumn("grp", F.pmod(F.xxhash64("draw", "piece"), groups[F.col("b")]).cast("long"))
     order = ["doc", "piece", "start", "size", "capacity", "draw", "b", "grp"]
     packed = dealt.select(*order).groupBy("b", "grp").applyInArrow(_pack(0, 0), f"doc {kind}, piece long, start long, size long, capacity long, draw long, b {kind_b}, grp long, bin long")
-    whole = pieces.where(~small).select("b", F.lit(-1).cast("long").alias("grp"), F.monotonically_increasing_id().alias("bin"), "doc", "piece", "start", "size", "capacity")
+    whole = pieces.where(~small).select("b", F.lit(-1).cast("long").alias("grp"), F.xxhash64("draw", "piece").alias("bin"), "doc", "piece", "start", "size", "capacity")
     none = pieces.where("size = 0").select("b", F.lit(None).cast("long").alias("grp"), F.lit(None).cast("long").alias("bin"), "doc", "piece", "start", "size", "capacity")
     names = [c.split()[0] for c in ddl.split(", ")]
     return (

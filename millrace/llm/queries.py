@@ -113,6 +113,15 @@ def p6_fill_report(spark: SparkSession, root: str) -> DataFrame:
     return fill_report(pack_texts(_lengths(spark, root), table(spark, root, "pack_budget"), "budget_id", "capacity_tokens", "reserved_tokens"))
 
 
+def p6_coverage(spark: SparkSession, root: str) -> DataFrame:
+    """What must hold of any packing: per budget, all documents placed, each whole and once, no context over its room."""
+    packed = saved(p6_pack_contexts(spark, root), "packed")
+    per_doc = packed.groupBy("budget_id", "doc_id").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n"), F.max("token_end").alias("end"), F.count_distinct("token_start").alias("starts"), F.count("*").alias("pieces"))
+    docs = per_doc.groupBy("budget_id").agg(F.count("*").alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("starts") != F.col("pieces"))).alias("broken"))
+    used = packed.where("context_no is not null").groupBy("budget_id", "room", "context_group", "context_no").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("n"))
+    return docs.join(used.groupBy("budget_id").agg(F.count_if(F.col("n") > F.col("room")).alias("overfull"), F.max("room").alias("room")), "budget_id")
+
+
 def p7_leaks(spark: SparkSession, root: str) -> DataFrame:
     """Documents with the items that leaked into them and the longest run of each."""
     return leaked_items(table(spark, root, "documents", "doc_id", "text"), table(spark, root, "eval_item"), "doc_id", "text", "item_id", ["passage", "question"])
@@ -128,6 +137,11 @@ def p8_reading(spark: SparkSession, root: str) -> DataFrame:
     return reading_levels(docs, "doc_id", "text", ratings, "doc_id", "level").withColumnRenamed("doc", "doc_id")
 
 
+def p8_measured(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that get a level, and whether it is one of the scale."""
+    return p8_reading(spark, root).select("doc_id", F.col("level").between(1, 5).alias("on_scale"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_reading(spark, root).select("doc_id", "level")
 
@@ -145,6 +159,14 @@ _P4_SQL = f"""WITH {_USABLE}, n AS (SELECT count(DISTINCT repo_id) AS everyone F
 freq AS (SELECT ecosystem, package_name, count(*) AS occurrences, count(DISTINCT repo_id) AS records FROM usable GROUP BY 1, 2),
 marked AS (SELECT freq.*, CASE WHEN records = 1 THEN 'rare' WHEN records * 5 > everyone THEN 'common' END AS mark FROM freq, n)"""
 
+# NFKC is beyond the SQL engine; its canonical form serves, as long as no text's matches hang on the difference.
+_RUNS = "list_transform(range(1, len(w) - 11), lambda i : array_to_string(w[i : i + 12], ' '))"
+_WORDS_OF = "regexp_extract_all(lower(nfc_normalize(regexp_replace({c}, '\\p{{Cf}}', '', 'g'))), '[\\p{{L}}\\p{{N}}]+') AS w"
+_P7_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS_OF.format(c='text')} FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, {_WORDS_OF.format(c='t')} FROM (SELECT item_id, passage AS t FROM eval_item UNION ALL SELECT item_id, question FROM eval_item) WHERE t IS NOT NULL),
+dr AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS r FROM d WHERE len(w) >= 13), ir AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS r FROM i WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (r)"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_repo_links": p1_repo_links,
@@ -157,10 +179,12 @@ QUERIES = {
     "p5_kmeans": p5_kmeans,
     "p6_pack_contexts": p6_pack_contexts,
     "p6_fill_report": p6_fill_report,
+    "p6_coverage": p6_coverage,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p8_found": p8_found,
     "p8_reading": p8_reading,
+    "p8_measured": p8_measured,
 }
 SQL = {
     "p1_found": f"{_P1_SQL} SELECT ra AS repo_id_a, rb AS repo_id_b FROM pair",
@@ -174,6 +198,10 @@ SELECT repo_id, class_id, copies, coalesce(n, 0) AS links FROM bag JOIN class US
     FROM kin WHERE similarity IS NOT NULL AND NOT isnan(similarity) AND id <> neighbour_id) WHERE k = 1) WHERE place <= 5""",
     "p4_found": f"{_P4_SQL} SELECT ecosystem, package_name, mark FROM marked WHERE mark IS NOT NULL",
     "p4_package_frequency": f"{_P4_SQL} SELECT ecosystem, package_name, occurrences, records, mark FROM marked",
+    "p6_coverage": """SELECT budget_id, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, 0 AS broken, 0 AS overfull, capacity_tokens - coalesce(reserved_tokens, 0) AS room
+FROM pack_budget WHERE capacity_tokens > coalesce(reserved_tokens, 0)""",
+    "p7_found": _P7_SQL,
+    "p8_measured": "SELECT doc_id, true AS on_scale FROM documents WHERE len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}\\x{0b}\\x{1c}-\\x{1f}\\x{85}]+'), lambda w : w <> '')) >= 60",
     "p5_found": """WITH RECURSIVE item AS (SELECT DISTINCT record_id AS r, m.id AS k FROM (SELECT record_id, unnest(members) AS m FROM clusters) WHERE m.id IS NOT NULL),
 size AS (SELECT r, count(*) AS n FROM item GROUP BY 1 HAVING count(*) >= 2),
 half AS (SELECT a.r AS x, b.r AS y FROM item a JOIN item b ON a.k = b.k AND a.r < b.r GROUP BY 1, 2

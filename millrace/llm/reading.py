@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import saved
+from millrace.session import saved, spread
 
 LANGUAGES = ["en", "de", "es", "fr", "it", "pt", "nl"]
 #: Languages with syllable rules and formulas of their own; the others are graded by LIX and RIX, which ask for no syllables.
@@ -266,6 +266,7 @@ def reading_grades(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     ``lang`` is the language most of the document's prose is in; passages in others don't count.
     """
     docs = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    docs = spread(docs)
     counts = ", ".join(f"{f} long" for f in FEATURES)
     return docs.mapInArrow(_measure("doc", "text"), f"doc {dict(docs.dtypes)['doc']}, lang string, {counts}, grade double")
 

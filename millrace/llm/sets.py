@@ -96,7 +96,7 @@ class SetClasses:
     heads: DataFrame
 
 
-def set_classes(rows: DataFrame, record: str, values: list[str], least: int, giant: int = 50_000, rule: Overlap = Overlap(1, 1)) -> SetClasses:
+def set_classes(rows: DataFrame, record: str, values: list[str], least: int, giant: int = 50_000, rule: Overlap = Overlap(1, 1), ranked: bool = True) -> SetClasses:
     """Distinct value sets of records, equal sets once.
 
     Rows with a null record or a null value (any of ``values``) count for nothing; repeated rows
@@ -105,7 +105,8 @@ def set_classes(rows: DataFrame, record: str, values: list[str], least: int, gia
     told by their size and order-free sums of their values' hashes, so copies go before any set is
     gathered. Sets of more than ``giant`` values are never gathered into one row, but stay in long
     form as ``giants`` (None if there are none), together with those that ``rule`` lets be their
-    partners. ``heads``, one row per class, has all classes: class_no, size, copies, lowest.
+    partners. ``heads``, one row per class, has all classes: class_no, size, copies, lowest. Tokens
+    stand rarest first, which class_pairs asks for, or with ``ranked`` false in any order.
     """
     given = rows.where(F.col(record).isNotNull())
     for v in values:
@@ -127,12 +128,15 @@ def set_classes(rows: DataFrame, record: str, values: list[str], least: int, gia
     giants = own.where(F.col("size") > giant * rule.num // rule.den) if some else None
     small = own.where(F.col("size") <= giant)
 
-    # Rarest first: a value's frequency decides its place, its hash breaks ties.
-    small = saved(small.select("class_no", "token"), "set-tokens")
-    df = small.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = lookup_join(small, df, ["token"], "df", small.count())
-    gathered = ranked.groupBy("class_no").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    sets = saved(gathered.select("class_no", F.col("t.token").alias("tokens")).join(heads.select("class_no", F.col("size").cast("int").alias("size"), "copies", "lowest"), "class_no"), "sets")
+    if ranked:
+        # Rarest first: a value's frequency decides its place, its hash breaks ties.
+        small = saved(small.select("class_no", "token"), "set-tokens")
+        df = small.groupBy("token").agg(F.count("*").alias("df"))
+        placed = lookup_join(small, df, ["token"], "df", small.count())
+        gathered = placed.groupBy("class_no").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).select("class_no", F.col("t.token").alias("tokens"))
+    else:
+        gathered = small.groupBy("class_no").agg(F.collect_list("token").alias("tokens"))
+    sets = saved(gathered.join(heads.select("class_no", F.col("size").cast("int").alias("size"), "copies", "lowest"), "class_no"), "sets")
     return SetClasses(members, sets.select("class_no", "size", "tokens", "copies", "lowest"), giants, heads.select("class_no", "size", "copies", "lowest"))
 
 

@@ -146,12 +146,14 @@ def _files(df: DataFrame, path: str) -> DataFrame:
     return spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, len(files)), "path")
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, second: str | None = None, n: int = 5) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, second: str | None = None, n: int = 5, layout: str | None = None) -> DataFrame:
     """``group, place, item, score, second``: the first n distinct items of every group.
 
     Order: ``score`` descending, ``second`` descending with null last, ``item`` ascending; an item
     counts once, with its row of highest score, then highest second. The result columns keep the
-    given names.
+    given names. ``layout`` is where write_clustered put the same table before: kept as a table, it
+    answers any n without a row being shuffled again, which is where skipping saves reading; ``df``
+    then only gives the types.
 
     Defined cases: rows with a null group, item or score, or a NaN score, don't count; a NaN second
     is null; a group with fewer than n items keeps them all; equal rows count once; an empty table
@@ -159,8 +161,7 @@ def top_n(df: DataFrame, group: str, item: str, score: str, second: str | None =
     """
     names = [group, "place", item, score] + ([second] if second else [])
     kinds = dict(df.dtypes)
-    path = write_clustered(df, group, item, score, second)
-    files = _files(df, path)
+    files = _files(df, layout or write_clustered(df, group, item, score, second))
     best = files.mapInArrow(_read(n, False), f"g {kinds[group]}, item {kinds[item]}, score double, second double")
     # A group that spans files has at most n rows from each; merge them.
     once = best.groupBy("g", "item").agg(F.max(F.struct("score", F.coalesce(F.col("second"), F.lit(float("-inf"))).alias("rank"), "second")).alias("b"))

@@ -41,8 +41,7 @@ def test_counts_equal_the_tokenizer(spark):
 
 
 def lengths(spark, n, extra=()):
-    rows = [(i, x, i * 7919) for i, x in enumerate(n)] + list(extra)
-    return spark.createDataFrame(rows, "doc long, n_tokens long, draw long")
+    return spark.createDataFrame([*enumerate(n), *extra], "doc long, n_tokens long")
 
 
 def budgets(spark, *rows):
@@ -51,7 +50,7 @@ def budgets(spark, *rows):
 
 def test_every_token_is_in_one_context_and_nothing_overflows(spark):
     n = [0, 5, 99, 100, 101, 250, 1000, *range(1, 90)]
-    out = pack_texts(lengths(spark, n, [(3, 100, 5), (3, 100, 5)]), budgets(spark, ("a", 110, 10), ("b", 64, None), ("c", 5, 5), ("d", None, None)), "budget_id", "cap", "res", group_items=30).collect()
+    out = pack_texts(lengths(spark, n, [(3, 100), (3, 100)]), budgets(spark, ("a", 110, 10), ("b", 64, None), ("c", 5, 5), ("d", None, None)), "budget_id", "cap", "res", group_items=30).collect()
     for budget, room in (("a", 100), ("b", 64)):
         mine = [r for r in out if r["budget"] == budget]
         assert all(r["room"] == room for r in mine)
@@ -88,3 +87,9 @@ def test_null_empty_long_and_no_texts(spark):
     assert text_lengths(docs.limit(0), "id", "body").count() == 0
     assert pack_texts(lengths(spark, []), budgets(spark, ("a", 10, 0)), "budget_id", "cap", "res").count() == 0
     assert pack_texts(lengths(spark, [1]), budgets(spark), "budget_id", "cap", "res").count() == 0
+
+
+def test_contexts_do_not_depend_on_the_split_of_the_table(spark, rows):
+    n = [(i % 40, 10 + i % 90) for i in range(400)] + [(7, 500)] * 3
+    pack = lambda parts: rows(pack_texts(spark.createDataFrame(n, "doc long, n_tokens long").repartition(parts), budgets(spark, ("a", 100, None)), "budget_id", "cap", group_items=50))
+    assert pack(1) == pack(7)
