@@ -70,12 +70,16 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int = 10) ->
 
 
 def stratified(df: DataFrame, strata: Column, shares: dict[str, float], n: int, seed: int, key: str) -> DataFrame:
-    """About ``n`` rows with the given share from each stratum, drawn by a seeded hash."""
-    ranked = df.withColumn("_s", strata).withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64(F.lit(seed), key), key)))
+    """About ``n`` rows with the given share from each stratum, drawn by a seeded hash.
+
+    The largest share bounds what any stratum sends, so a group limit runs before the shuffle.
+    """
+    drawn = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+    ranked = df.withColumn("_s", strata).withColumn("_k", F.row_number().over(Window.partitionBy("_s").orderBy(drawn, key)))
     keep = F.lit(False)
     for name, share in shares.items():
         keep = keep | ((F.col("_s") == name) & (F.col("_k") <= round(n * share)))
-    return ranked.where(keep).drop("_k").withColumnRenamed("_s", "stratum")
+    return ranked.where(F.col("_k") <= round(n * max(shares.values()))).where(keep).drop("_k").withColumnRenamed("_s", "stratum")
 
 
 def undirected(edges: DataFrame, src: str, dst: str, weight: str) -> DataFrame:

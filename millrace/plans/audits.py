@@ -10,8 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.checks import audit, classify
+from millrace.checks import audit, classify, grade
 from millrace.functions import scalar, text
 from millrace.operators import extract, graph, relational
 from millrace.plans import fixtures as fx
@@ -62,6 +63,21 @@ def ranked_findings(spark: SparkSession, root: str) -> DataFrame:
     return audit.ranked(found, repos, gone).select("repo_id", F.col("place").cast("long").alias("place"), "check_id", "severity", "rank")
 
 
+def axis_cases(spark: SparkSession, root: str) -> DataFrame:
+    """G-5, G-10, G-11: tests by their share of files, architecture and cleanliness by what was measured of the modules."""
+    rows = [(1, 100, 5, 50, 5, 2, 10, 5), (2, 10, 2, 4, 4, 4, 0, 0), (3, 1000, 1, 2, 0, 0, 0, 0)]
+    asked = ["repo_id", "total_files", "n_tests", "modules", "cycles", "high", "medium", "low"]
+    given = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in asked))
+    signals = given.select(*[F.col(f.split()[0]) if f.split()[0] in asked else F.lit(None).cast(f.split()[1]).alias(f.split()[0]) for f in _fields(grade.SIGNALS)])
+    none = spark.createDataFrame([], "repo_id long, check_id string, n int")
+    return grade.axis_scores(signals, none).where(F.col("axis").isin("tests", "architecture", "cleanliness")).select("repo_id", "axis", "score", "partial")
+
+
+def _fields(ddl: str) -> list[str]:
+    """``name type`` of each field of a schema."""
+    return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(ddl)]
+
+
 def declared_packages(spark: SparkSession, root: str) -> DataFrame:
     """Packages and constraints of manifests in nine formats; lock files, broken and null ones give none."""
     files = spark.createDataFrame([(1, p, t) for p, t in fx.MANIFEST_FILES], "repo_id long, path string, text string")
@@ -228,17 +244,18 @@ def batch_quota(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scalar_cases(spark: SparkSession, root: str) -> DataFrame:
-    """Scalar functions, case by case."""
+    """Scalar functions, case by case."""
     cases = [
         ("effect", "cursor.execute"), ("effect", "requests.get"), ("effect", "x.generate.create(client)"), ("effect", "nothing.here"), ("import", "@a/b/c"), ("import", "os.path"), ("import", "a/b"), ("extension", "a/b.PY"),
         ("extension", "Makefile"), ("module", "a/b.test.js"), ("top", "a/b/c"), ("top", "c"), ("base", "a/b/c.x"), ("language", "x/y.rs"), ("language", "x"), ("day", "January 5, 2026"), ("day", "Mon, 05 Jan 2026 23:30:00 -0200"),
         ("day", "2026-01-05T01:00:00Z"), ("day", "soon"), ("bare", "x = 1 # kept\n# gone\ny"), ("bare", "a /* b\nc */ d"), ("noindex", "<meta name='robots' content='noindex'>"), ("noindex", "<meta name='robots' content='all'>"),
-        ("language_accepted", "TSX"), ("language_accepted", "Go"),
+        ("language_accepted", "TSX"), ("language_accepted", "Go"), ("reasoning", "First, let me draft the article."), ("reasoning", "We need to keep it under 300 words"), ("reasoning", "A parser for logs."),
     ]
     x = F.col("x")
     value = {
         "effect": scalar.effect(x), "import": scalar.import_root(x), "extension": scalar.extension(x), "module": scalar.module_id(x), "top": scalar.top_dir(x), "base": scalar.base_name(x), "language": scalar.language_of(x),
         "day": F.date_format(text.parsed_time(x), "yyyy-MM-dd"), "bare": text.strip_comments(x), "noindex": text.noindex(x).cast("string"), "language_accepted": text.accepts_language(x, "TypeScript", ["tsx"]).cast("string"),
+        "reasoning": text.reasoning_leak(x).cast("string"),
     }
     out = F.lit(None).cast("string")
     for name, v in value.items():
@@ -315,7 +332,7 @@ def _values(columns: str, *rows: str) -> str:
 QUERIES = {g: _checks(g) for g in GROUPS} | {
     f.__name__: f
     for f in (
-        vulnerable_checks, ranked_findings, declared_packages, program_symbols, program_calls, program_effects, program_flow, program_files, resolved_imports, tree_census, tree_technologies, tree_issues, tree_collections,
+        vulnerable_checks, ranked_findings, axis_cases, declared_packages, program_symbols, program_calls, program_effects, program_flow, program_files, resolved_imports, tree_census, tree_technologies, tree_issues, tree_collections,
         classified_trees, read_first, structure, structure_groups, area_imports, area_chart, repeated_blocks, fact_texts, articles, upstream_gate, originals_and_forks, batch_quota, scalar_cases, read_sources, written_sinks,
         text_sinks, streamed_shared_values,
     )
@@ -343,6 +360,10 @@ SQL = {
         "repo_id, place, check_id, severity, rank", "(1, 1, 'private-key-committed', 'critical', 7.6)", "(1, 2, 'no-license', 'high', 4.25)", "(1, 3, 'gha-missing-job-timeout', 'low', 0.9)",
         "(2, 1, 'no-license', 'high', 2.55)", "(3, 1, 'no-license', 'high', 1.27)",
     ),
+    "axis_cases": _values(
+        "repo_id, axis, score, partial", "(1, 'tests', 51.8, false)", "(1, 'architecture', 67.2, false)", "(1, 'cleanliness', 73.4, false)", "(2, 'tests', 92.0, false)", "(2, 'architecture', 17.0, false)",
+        "(2, 'cleanliness', 95.0, false)", "(3, 'tests', 25.0, false)", "(3, 'architecture', 55.0, true)", "(3, 'cleanliness', 60.0, true)",
+    ),
     "declared_packages": _values(
         "path, name, spec", "('package.json', 'a', '^1')", "('package.json', 'b', '2')", "('package.json', 'c', NULL)", "('requirements-dev.txt', 'flask', '==2.0')", "('requirements-dev.txt', 'uvicorn', '>=0.2,<1')",
         "('requirements-dev.txt', 'plain', NULL)", "('a/pyproject.toml', 'pydantic', '==2.6.1')", "('a/pyproject.toml', 'rich', NULL)", "('a/pyproject.toml', 'pytest', '>=7')", "('a/pyproject.toml', 'httpx', '0.2')",
@@ -417,7 +438,8 @@ SQL = {
     "('import', 'a/b', 'a'), ('extension', 'a/b.PY', 'py'), ('extension', 'Makefile', ''), ('module', 'a/b.test.js', 'a/b.test'), ('top', 'a/b/c', 'a'), ('top', 'c', '(root)'), ('base', 'a/b/c.x', 'c.x'), ('language', 'x/y.rs', 'Rust'), "
     "('language', 'x', NULL), ('day', 'January 5, 2026', '2026-01-05'), ('day', 'Mon, 05 Jan 2026 23:30:00 -0200', '2026-01-06'), ('day', '2026-01-05T01:00:00Z', '2026-01-05'), ('day', 'soon', NULL), "
     "('bare', 'x = 1 # kept~# gone~y', 'x = 1 # kept~~y'), ('bare', 'a /* b~c */ d', 'a  d'), ('noindex', '<meta name=''robots'' content=''noindex''>', 'true'), ('noindex', '<meta name=''robots'' content=''all''>', 'false'), "
-    "('language_accepted', 'TSX', 'true'), ('language_accepted', 'Go', 'false')) t(f, x, y)",
+    "('language_accepted', 'TSX', 'true'), ('language_accepted', 'Go', 'false'), "
+    "('reasoning', 'First, let me draft the article.', 'true'), ('reasoning', 'We need to keep it under 300 words', 'true'), ('reasoning', 'A parser for logs.', 'false')) t(f, x, y)",
     "read_sources": _values(
         "source, value", "('json', '1')", "('json', '3')", "('broken', '{broken')", "('keyed', '7')", "('keyed', '8')", "('walkable', 'src/a.py')", "('walkable', 'c.py')", "('first', 'x')", "('first', 'z')", "('repos', 'a')", "('repos', 'd')",
         "('edges', '0.5')", "('cached', '1')", "('stale', '2')", "('stale', '3')",

@@ -87,9 +87,9 @@ def hierarchy(spark: SparkSession, root: str) -> DataFrame:
 
 def region_rollup(spark: SparkSession, root: str) -> DataFrame:
     """G11 over region, nation and customer."""
-    n = table(spark, root, "nation").join(F.broadcast(table(spark, root, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    n = table(spark, root, "nation").join(table(spark, root, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, root, "customer", "c_custkey", "c_nationkey", "c_acctbal").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sum("c_acctbal").alias("b"))
-    j = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return j.rollup("r_name", "n_name").agg(F.sum("n").alias("customers"), scalar.half_up(F.sum("b"), 1).alias("balance"))
 
 
@@ -222,10 +222,10 @@ def running_budget(spark: SparkSession, root: str) -> DataFrame:
 
 
 def strata_sample(spark: SparkSession, root: str) -> DataFrame:
-    """100 repositories, 40, 35 and 25 percent from three strata of stars; counts drawn per stratum."""
+    """100 repositories, 40, 35 and 25 percent from three strata of stars."""
     r = current(spark, root).select("id", "stars")
     s = F.when(F.col("stars") >= 100, "many").when(F.col("stars") >= 20, "some").otherwise("few")
-    return relational.stratified(r, s, {"many": 0.4, "some": 0.35, "few": 0.25}, 100, 7, "id").groupBy("stratum").agg(F.count("*").alias("n"))
+    return relational.stratified(r, s, {"many": 0.4, "some": 0.35, "few": 0.25}, 100, 7, "id").select("stratum", "id")
 
 
 def due_items(spark: SparkSession, root: str) -> DataFrame:
@@ -264,10 +264,10 @@ def visible_parents(spark: SparkSession, root: str) -> DataFrame:
 
 
 def name_set_difference(spark: SparkSession, root: str) -> DataFrame:
-    """Domains and languages that kin has and repo hasn't, and the other way round."""
-    a = table(spark, root, "kin", "domain").unionByName(table(spark, root, "kin", "language").toDF("domain")).dropna()
-    b = table(spark, root, "repo", "domain").unionByName(table(spark, root, "repo", "language").toDF("domain")).dropna()
-    return a.distinct().exceptAll(b.distinct()).withColumn("only_in", F.lit("kin")).unionByName(b.distinct().exceptAll(a.distinct()).withColumn("only_in", F.lit("repo")))
+    """Spellings of ecosystems that one of two tables has and the other hasn't."""
+    a, b = (table(spark, root, t, "ecosystem").dropna().distinct() for t in ("dependency", "advisory_affects"))
+    only = lambda x, y, name: x.join(y, "ecosystem", "left_anti").withColumn("only_in", F.lit(name))
+    return only(a, b, "dependency").unionByName(only(b, a, "advisory_affects"))
 
 
 _LAST = """last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, updated_at DESC NULLS LAST, name DESC NULLS LAST, stars DESC NULLS LAST) AS k FROM repo) WHERE k = 1),
@@ -318,11 +318,11 @@ SQL = {
     "neighbours": f"WITH {_LAST}, b AS (SELECT id, neighbour_id, max(similarity) AS similarity FROM kin WHERE id <> neighbour_id AND similarity IS NOT NULL AND NOT isnan(similarity) GROUP BY 1, 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour_id) AS place FROM b) WHERE place <= 12), w AS (SELECT *, lag(neighbour_id) OVER (PARTITION BY id ORDER BY place) AS previous, lead(neighbour_id) OVER (PARTITION BY id ORDER BY place) AS following FROM t) SELECT w.id, place, neighbour_id, similarity, name, domain, previous, following FROM w LEFT JOIN cur ON cur.id = neighbour_id",
     "interleaved": f"WITH {_LAST} SELECT id, coalesce(domain, 'Other') AS domain, row_number() OVER (PARTITION BY coalesce(domain, 'Other') ORDER BY stars DESC NULLS LAST, id) AS turn FROM cur",
     "running_budget": "SELECT doc_id, repo_id, n_chars FROM (SELECT doc_id, repo_id, n_chars, sum(n_chars) OVER (PARTITION BY repo_id ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents WHERE repo_id IS NOT NULL) WHERE s <= 20000",
-    "strata_sample": f"WITH {_LAST}, s AS (SELECT CASE WHEN stars >= 100 THEN 'many' WHEN stars >= 20 THEN 'some' ELSE 'few' END AS stratum, count(*) AS n FROM cur GROUP BY 1) SELECT stratum, least(n, CASE stratum WHEN 'many' THEN 40 WHEN 'some' THEN 35 ELSE 25 END) AS n FROM s",
+    "strata_sample": f"WITH {_LAST}, s AS (SELECT id, CASE WHEN stars >= 100 THEN 'many' WHEN stars >= 20 THEN 'some' ELSE 'few' END AS stratum FROM cur), k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5('7:' || id), id) AS k FROM s) SELECT stratum, id FROM k WHERE k <= CASE stratum WHEN 'many' THEN 40 WHEN 'some' THEN 35 ELSE 25 END",
     "due_items": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING max(o_orderdate) > (SELECT max(o_orderdate) FROM orders) - INTERVAL 14 DAY)",
     "latest_upsert": "SELECT id, name, stars FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, name DESC NULLS LAST, stars DESC NULLS LAST) AS k FROM repo) WHERE k = 1",
     "posts_by_domain": f"WITH {_LAST} SELECT coalesce(domain, 'Other') AS domain, count(*) AS repos FROM cur WHERE id IN (SELECT repo_id FROM documents WHERE repo_id IS NOT NULL) GROUP BY 1",
     "recent_feed": "SELECT doc_id, title FROM documents WHERE published_at IS NOT NULL ORDER BY published_at DESC, doc_id LIMIT 20",
     "visible_parents": f"WITH {_LAST}, s AS (SELECT * FROM cur WHERE domain = 'Infra & Ops' AND stars BETWEEN 10 AND 100) SELECT id FROM s UNION SELECT id FROM cur WHERE id IN (SELECT parent_id FROM s WHERE parent_id IS NOT NULL)",
-    "name_set_difference": "WITH a AS (SELECT domain FROM kin UNION SELECT language FROM kin), b AS (SELECT domain FROM repo UNION SELECT language FROM repo) SELECT domain, 'kin' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) WHERE domain IS NOT NULL UNION ALL SELECT domain, 'repo' FROM (SELECT * FROM b EXCEPT SELECT * FROM a) WHERE domain IS NOT NULL",
+    "name_set_difference": "SELECT DISTINCT ecosystem, 'dependency' AS only_in FROM dependency WHERE ecosystem NOT IN (SELECT ecosystem FROM advisory_affects WHERE ecosystem IS NOT NULL) UNION ALL SELECT DISTINCT ecosystem, 'advisory_affects' FROM advisory_affects WHERE ecosystem NOT IN (SELECT ecosystem FROM dependency WHERE ecosystem IS NOT NULL)",
 }

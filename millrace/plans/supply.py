@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys, scalar
 from millrace.operators import relational
-from millrace.operators.skew import lookup_join
+from millrace.operators.skew import dealt_join
 from millrace.session import saved, table
 
 
@@ -43,13 +43,9 @@ def repo_packages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _met(spark: SparkSession, root: str) -> DataFrame:
-    """affected x dependency on (ecosystem, package): a package in half of all repositories meets a broadcast."""
+    """affected x dependency on (ecosystem, package): a package in half of all repositories is dealt over tasks."""
     deps = saved(repo_packages(spark, root), "repo-packages")
-    n = deps.groupBy("ecosystem", "package_name").agg(F.count("*").alias("n"))
-    # The join multiplies rows on the affected side, so its list per package is one dimension row.
-    listed = affected(spark, root).groupBy("ecosystem", "package_name").agg(F.collect_set("osv_id").alias("ids"))
-    dim = listed.join(n, ["ecosystem", "package_name"])
-    return lookup_join(deps, dim, ["ecosystem", "package_name"], "n", deps.count()).select(F.explode("ids").alias("osv_id"), "repo_id", "ecosystem", "package_name")
+    return dealt_join(deps, affected(spark, root), ["ecosystem", "package_name"], "repo_id").select("osv_id", "repo_id", "ecosystem", "package_name")
 
 
 def advisory_reach(spark: SparkSession, root: str) -> DataFrame:

@@ -66,8 +66,9 @@ def text_entropy(spark: SparkSession, root: str) -> DataFrame:
 
 
 def plain_text(spark: SparkSession, root: str) -> DataFrame:
-    """Length of each text without its Markdown."""
-    return _documents(spark, root).where("text is not null").select("doc_id", F.length(text.strip_markdown(F.col("text"))).alias("plain_chars"))
+    """Length and hash of each text without its Markdown."""
+    plain = text.strip_markdown(F.col("text"))
+    return _documents(spark, root).where("text is not null").select("doc_id", F.length(plain).alias("plain_chars"), F.md5(plain).alias("plain"))
 
 
 def cleaned_articles(spark: SparkSession, root: str) -> DataFrame:
@@ -211,7 +212,7 @@ SQL = {
     "reasoning_leak": f"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '{_REASON}')",
     "fallback_gate": f"SELECT source, (text IS NULL OR length(text) < 400 OR {_TRUNC} OR {_FILL}) AS fallback, count(*) AS n FROM documents GROUP BY 1, 2",
     "text_entropy": "WITH c AS (SELECT doc_id, c, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS t FROM (SELECT doc_id, unnest(string_split(title, '')) AS c FROM documents WHERE title IS NOT NULL) GROUP BY 1, 2) SELECT doc_id, floor(-sum(n / t * log2(n / t)) * 1000000.0 + 0.5) / 1000000.0 AS bits FROM c GROUP BY 1",
-    "plain_text": f"SELECT doc_id, length(trim({_PLAIN}, ' ')) AS plain_chars FROM documents WHERE text IS NOT NULL",
+    "plain_text": f"SELECT doc_id, length(p) AS plain_chars, md5(p) AS plain FROM (SELECT doc_id, trim({_PLAIN}, ' ') AS p FROM documents WHERE text IS NOT NULL)",
     "cleaned_articles": _ARTICLE,
     "read_times": f"SELECT greatest(2, CAST(ceil({_WORDS} / 200) AS INT)) AS minutes, count(*) AS n FROM documents GROUP BY 1",
     "embedding_inputs": f"SELECT doc_id, length({_EMB}) AS chars, left(sha1('model-a' || chr(10) || {_EMB}), 16) AS hash FROM documents",
