@@ -31,6 +31,12 @@ def token_rows(df: DataFrame, ident: str, c: Column) -> DataFrame:
     return rows.where(_is_token(F.col("token")))
 
 
+def refreshed_postings(postings: DataFrame, changed: DataFrame, ident: str, c: Column) -> DataFrame:
+    """Postings brought up to date: those of ``changed`` texts go and come anew, all others stay; a null text only goes."""
+    kept = postings.join(changed.select(ident).distinct(), ident, "left_anti")
+    return kept.unionByName(token_rows(changed, ident, c))
+
+
 SQL_TOKENS = (
     "list_filter(list_transform(regexp_split_to_array(lower(coalesce({c}, '')), '[^a-z0-9+#.]+'), lambda t : regexp_replace(t, '^[.]+|[.]+$', '', 'g')), "
     "lambda t : length(t) > 1 AND length(t) < 24 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "], t) AND NOT regexp_matches(t, '^[0-9]+$'))"

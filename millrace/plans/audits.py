@@ -16,7 +16,7 @@ from millrace.checks import audit, classify, grade
 from millrace.functions import scalar, text
 from millrace.operators import extract, graph, relational
 from millrace.plans import fixtures as fx
-from millrace.session import new_path, saved
+from millrace.session import new_path, saved, table
 from millrace.sources import manifests, readers, sinks, symbols
 from millrace.streaming.incremental import file_stream, shared_values
 
@@ -304,6 +304,14 @@ def written_sinks(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(s, str(v).lower()) for s, v in steps], "step string, outcome string")
 
 
+def described_schema(spark: SparkSession, root: str) -> DataFrame:
+    """A table's schema as rows, with meanings, and where meanings and fields disagree."""
+    about = {"region": "number of the region", "population": "people in it"}
+    r = table(spark, root, "region", "r_regionkey", "r_name").toDF("region", "name")
+    rows = sinks.schema_rows(sinks.described(r, about)).select("field", F.regexp_replace("type", "^(int|bigint)$", "number").alias("type"), "about")
+    return rows.withColumn("gap", F.lit(None).cast("string")).unionByName(sinks.schema_gaps(r, about).select("field", F.lit(None).cast("string").alias("type"), F.lit(None).cast("string").alias("about"), "gap"))
+
+
 def text_sinks(spark: SparkSession, root: str) -> DataFrame:
     """A feed item, an Atom entry, a URL set, a Markdown table and an llms.txt of two pages."""
     rows = [("A & B", "/a", "2026-01-05 10:00:00", "x", "First."), ("C", "/c", "2026-01-06 10:00:00", "x", None)]
@@ -334,7 +342,7 @@ QUERIES = {g: _checks(g) for g in GROUPS} | {
     for f in (
         vulnerable_checks, ranked_findings, axis_cases, declared_packages, program_symbols, program_calls, program_effects, program_flow, program_files, resolved_imports, tree_census, tree_technologies, tree_issues, tree_collections,
         classified_trees, read_first, structure, structure_groups, area_imports, area_chart, repeated_blocks, fact_texts, articles, upstream_gate, originals_and_forks, batch_quota, scalar_cases, read_sources, written_sinks,
-        text_sinks, streamed_shared_values,
+        described_schema, text_sinks, streamed_shared_values,
     )
 }
 
@@ -448,6 +456,10 @@ SQL = {
         "step, outcome", "('first write', 'true')", "('same but for the time', 'false')", "('one row less', 'true')", "('rows left', '1')", "('changed rows', '2')", "('rows of key 77', '1')", "('migrations', '[1, 2]')",
         "('later migrations', '[3]')",
     ),
+    "described_schema": _values(
+        "field, type, about, gap", "('region', 'number', 'number of the region', NULL)", "('name', 'string', NULL, NULL)", "('name', NULL, NULL, 'undescribed')",
+        "('population', NULL, NULL, 'absent')",
+    ),
     "text_sinks": "SELECT sink, replace(t, '~', chr(10)) AS text FROM (VALUES "
     "('rss', '<item><title>C</title><link>/c</link><pubDate>Tue, 06 Jan 2026 10:00:00 GMT</pubDate></item>'), ('atom', '<entry><title>C</title><link href=\"/c\"/><id>/c</id><updated>2026-01-06T10:00:00Z</updated></entry>'), "
     "('sitemap', '<url><loc>https://x/a</loc></url><url><loc>https://x/c</loc></url>'), ('markdown', '| title | link |~| --- | --- |~| A & B | /a |~| C | /c |'), ('llms.txt', '## x~~- [A & B](/a): First.~- [C](/c)')) t(sink, t)",

@@ -172,6 +172,15 @@ def cached_postings(spark: SparkSession, root: str) -> DataFrame:
     return p.groupBy("token").agg(F.count("*").alias("df")).groupBy(F.floor(F.col("df") * 10 / n).alias("tenth")).agg(F.count("*").alias("tokens"))
 
 
+def refreshed_postings(spark: SparkSession, root: str) -> DataFrame:
+    """Postings of which only the later half of the texts were read anew; before, those had their titles for text."""
+    d = saved(_documents(spark, root, "title", "fetched_at"), "texts")
+    cut = d.agg(F.percentile_approx("fetched_at", 0.5)).first()[0]
+    later = F.coalesce(F.col("fetched_at") > F.lit(cut), F.lit(False))
+    old = text.token_rows(d.select("doc_id", F.when(later, F.col("title")).otherwise(F.col("text")).alias("text")), "doc_id", F.col("text"))
+    return text.refreshed_postings(old, d.where(later).select("doc_id", "text"), "doc_id", F.col("text")).groupBy("doc_id").agg(F.count("*").alias("tokens"))
+
+
 _TOK = text.SQL_TOKENS.format(c="text")
 _POST = f"post AS (SELECT DISTINCT doc_id, unnest({_TOK}) AS token FROM documents)"
 _PLAIN = "text"
@@ -199,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inverted_index_df, token_search, posting_intersect, token_totals, truncated_text, reasoning_leak, fallback_gate, text_entropy, plain_text, cleaned_articles, read_times, embedding_inputs,
-        stale_embeddings, unique_slugs, headings, escaped_titles, line_metrics, duplicated_windows, shared_value_suppression, links_of_titles, title_blocks, cached_postings,
+        stale_embeddings, unique_slugs, headings, escaped_titles, line_metrics, duplicated_windows, shared_value_suppression, links_of_titles, title_blocks, cached_postings, refreshed_postings,
     )
 }
 SQL = {
@@ -224,5 +233,6 @@ SQL = {
     "duplicated_windows": "WITH d AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x : trim(x, ' ')), lambda x : length(x) > 3 AND NOT regexp_matches(x, '^[)}\\];,]+$')) AS l FROM documents), w AS (SELECT doc_id, unnest(list_transform(range(1, len(l) - 4), lambda i : array_to_string(l[i : i + 5], chr(10)))) AS w FROM d WHERE len(l) >= 6) SELECT md5(w) AS \"window\", count(DISTINCT doc_id) AS documents FROM w WHERE length(w) >= 60 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2",
     "links_of_titles": "WITH f AS (SELECT repo_id, doc_id, title, row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) AS k FROM documents WHERE repo_id IS NOT NULL AND title IS NOT NULL) SELECT repo_id, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM f WHERE k <= 5 GROUP BY 1",
     "title_blocks": "WITH f AS (SELECT repo_id, doc_id, title, (row_number() OVER (PARTITION BY repo_id ORDER BY doc_id) - 1) // 100 AS block FROM documents WHERE repo_id IS NOT NULL AND title IS NOT NULL) SELECT repo_id, block, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM f GROUP BY 1, 2",
+    "refreshed_postings": f"WITH {_POST} SELECT doc_id, count(*) AS tokens FROM post GROUP BY 1",
     "cached_postings": f"WITH {_POST}, f AS (SELECT token, count(*) AS df FROM post GROUP BY 1) SELECT CAST(floor(df * 10 / (SELECT count(*) FROM documents)) AS BIGINT) AS tenth, count(*) AS tokens FROM f GROUP BY 1",
 }

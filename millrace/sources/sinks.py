@@ -147,6 +147,23 @@ def migrate(spark: SparkSession, path: str, steps: Sequence[tuple[int, str]], ap
     return ran
 
 
+def described(df: DataFrame, about: dict[str, str]) -> DataFrame:
+    """The table with what each field means as its comment, so the schema travels with the data."""
+    return df.select(*[F.col(c).alias(c, metadata={"comment": about[c]}) if c in about else F.col(c) for c in df.columns])
+
+
+def schema_rows(df: DataFrame) -> DataFrame:
+    """A table's schema as data: ``field, type, nullable, about``."""
+    rows = [(f.name, f.dataType.simpleString(), f.nullable, f.metadata.get("comment")) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "field string, type string, nullable boolean, about string")
+
+
+def schema_gaps(df: DataFrame, about: dict[str, str]) -> DataFrame:
+    """``field, gap``: fields that nothing describes, and descriptions of fields that aren't there."""
+    rows = [(c, "undescribed") for c in df.columns if c not in about] + [(c, "absent") for c in about if c not in df.columns]
+    return df.sparkSession.createDataFrame(rows, "field string, gap string")
+
+
 def feed_items(df: DataFrame, title: str, link: str, at: str, n: int = 20) -> DataFrame:
     """The n latest as RSS items, one text per row."""
     from millrace.functions.scalar import escape_html

@@ -103,3 +103,15 @@ def test_shared_values_stream(spark, tmp_path):
 def test_latest_wins(spark, rows):
     a, b = spark.createDataFrame([(1, 1, "x")], "k int, v int, s string"), spark.createDataFrame([(1, 2, None), (2, 0, "y")], "k int, v int, s string")
     assert rows(latest_wins(a, b, ["k"], ["v"])) == [(1, 2, None), (2, 0, "y")]
+
+
+def test_paged_source(spark, tmp_path, rows):
+    from millrace.sources.paged import PagedReader, paged_json
+
+    for n in (1, 2):
+        (tmp_path / f"p{n}.json").write_text(json.dumps([{"id": 10 * n, "name": "a", "more": 1}, {"id": 10 * n + 1}]))
+    got = paged_json(spark, f"file://{tmp_path}/p{{page}}.json", 2, "id long, name string")
+    assert rows(got) == [(10, "a"), (11, None), (20, "a"), (21, None)] and got.rdd.getNumPartitions() == 2
+    reader = PagedReader(got.schema, {"url": f"file://{tmp_path}/none{{page}}.json", "pages": "1", "tries": "2", "wait": "0.01"})
+    with pytest.raises(OSError):
+        list(reader.read(reader.partitions()[0]))
