@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import half_up
 from millrace.operators.relational import min_max, top_k
 from millrace.operators.skew import lookup_join, self_pairs
-from millrace.session import saved
+from millrace.session import release, saved
+
+
+#: Parts of all classes that idf_overlap takes up one after the other, and rows that are few enough for one turn.
+BUCKETS, FEW_ROWS = 64, 200_000
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -80,44 +84,93 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int = 3, floor: float = 0
     return best.select("src", "dst", half_up(F.col("sim"), 3).alias("sim"))
 
 
+def _best_met(lists: DataFrame, size: int, n: int, least: float, k: int, low: int, high: int, seen: Observation) -> DataFrame:
+    """``x, y, weight``: the ``k`` best other classes ``y`` of each class ``x`` in buckets from ``low`` to below ``high``; ``seen`` gets the pairs written."""
+    turn = lambda p: F.col(f"{p}.bucket").between(low, high - 1)
+    norms = F.col("a.norm") * F.col("b.norm")
+    q = lambda of: f"pow(ln({float(max(n, 1))!r}D / {of}), 2)"
+    # The rests are single precision, hence the slack.
+    able = (turn("a") | turn("b")) & (F.expr(q("a.df")) + F.sqrt(F.col("a.rest").cast("double") * F.col("b.rest")) * (1 + 1e-6) >= (least - 1e-9) * norms)
+    dot = F.expr(f"{q('a.df')} + aggregate(array_intersect(a.terms, b.terms), 0D, (s, x) -> s + {q('element_at(a.dfs, cast(array_position(a.terms, x) as int))')})")
+    met = self_pairs(lists, ["t"], "c", able, size).select(F.col("a.c").alias("x"), F.col("b.c").alias("y"), turn("a").alias("for_x"), turn("b").alias("for_y"), (dot / norms).alias("s"))
+    # Looked at behind the explode: in the join's condition the lambda would keep the join from being compiled.
+    ends = F.array(F.struct("for_x", "x", "y", "s"), F.struct(F.col("for_y").alias("for_x"), F.col("y").alias("x"), F.col("x").alias("y"), "s"))
+    both = met.select(F.explode(ends).alias("e")).where((F.col("e.s") >= least) & F.col("e.for_x"))
+    # Thousandths: ranks and results are of three places.
+    both = both.select("e.x", "e.y", F.floor(F.col("e.s") * 1000.0 + F.lit(0.5)).cast("int").alias("w")).observe(seen, F.count(F.lit(1)).alias("n"))
+    # A pair may meet at several terms; the rarest gives all of its weight.
+    best = both.repartition("x").groupBy("x", "y").agg(F.max("w").alias("w"))
+    return saved(top_k(best, ["x"], [F.desc("w"), F.asc("y")], k).select("x", "y", (F.col("w") / 1000.0).alias("weight")), "best-classes", sweep=True)
+
+
 def idf_overlap(pairs: DataFrame, ident: str, term: str, least: float = 0.12, cap: float = 0.25, k: int = 12, evidence: int = 6) -> DataFrame:
     """``id, other, weight, shared``: records tied by the rare terms they share.
 
     The weight is the cosine of rarity-weighted term sets; terms in more than a share ``cap`` of records
     count in a record's length but tie none together. ``shared`` are the rarest common terms.
 
-    A record's most common terms, as long as their part of its length stays below ``least``, can't tie
-    it to anything by themselves, so the lists that meet leave them out: exact, and the longest lists
-    are the ones that go. What two records share beyond their lists is at most the square of the
-    greater part left out, so pairs that can't reach ``least`` even with it go before terms are
-    fetched; the others are weighed over all their terms.
+    Records with equal terms are one class and weigh the same to all others, so classes meet instead of
+    records, and at most ``k + 1`` members of a class stand for it. A class's most common terms, as long
+    as their part of its length stays below ``least``, can't tie it to anything by themselves, so the
+    lists that meet leave them out. A row of a list carries the terms more common than its own: where
+    two classes meet at the rarest term they share, these give the whole weight. What they could share
+    at most is looked at first, so no pair is written unless it holds. Pairs are written for some
+    classes at a time, as many as keep them to a few times the lists, and only each class's best stay.
+    ``evidence`` 0 leaves ``shared`` out.
     """
-    sets = saved(pairs.select(F.col(ident).alias("id"), F.col(term).alias("t")).dropna().distinct(), "terms")
-    n = sets.select("id").distinct().count()
-    df = sets.groupBy("t").agg(F.count("*").alias("df"))
-    weighted = lookup_join(sets, df, ["t"], "df", sets.count()).withColumn("w", F.log(F.lit(float(max(n, 1))) / F.col("df")))
-    weighted = saved(weighted, "weighted-terms")
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    norms = saved(norms.withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0)), "norms")
-    tying = saved(weighted.where((F.col("df") >= 2) & (F.col("df") <= max(2, int(n * cap)))), "tying-terms")
-    common = Window.partitionBy("id").orderBy(F.desc("df"), "t").rowsBetween(Window.unboundedPreceding, 0)
-    part = tying.withColumn("part", F.sum(F.col("w") * F.col("w")).over(common)).join(norms, "id")
-    kept = part.where(F.sqrt("part") >= (least - 1e-9) * F.col("norm"))
-    # The part left out is what stands before a record's first kept term.
-    left_out = kept.groupBy("id").agg(F.min(F.col("part") - F.col("w") * F.col("w")).alias("left_out"))
-    lists = saved(kept.select("id", "t", "w", "norm").join(left_out, "id"), "term-lists")
-    met = self_pairs(lists, ["t"], "id", F.lit(True), lists.count())
-    near = met.groupBy(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y")).agg(
-        F.sum(F.col("a.w") * F.col("a.w")).alias("dot"), F.max(F.col("a.norm") * F.col("b.norm")).alias("norms"), F.max(F.greatest("a.left_out", "b.left_out")).alias("more")
-    )
-    near = near.where(F.col("dot") + F.col("more") >= (least - 1e-9) * F.col("norms")).select("x", "y")
-    both = near.join(tying.select(F.col("id").alias("x"), "t", "w"), "x").join(tying.select(F.col("id").alias("y"), "t"), ["y", "t"])
-    dots = both.groupBy("x", "y").agg(F.sum(F.col("w") * F.col("w")).alias("dot"), F.sort_array(F.collect_list(F.struct((-F.col("w")).alias("w"), "t"))).alias("terms"))
-    near = lambda c: norms.withColumnsRenamed({"id": c, "norm": f"n{c}"})
-    scored = dots.join(near("x"), "x").join(near("y"), "y").withColumn("s", F.col("dot") / (F.col("nx") * F.col("ny"))).where(F.col("s") >= least)
-    kept = scored.select("x", "y", half_up(F.col("s"), 3).alias("weight"), F.slice("terms.t", 1, evidence).alias("shared"))
-    both = kept.select(F.col("x").alias("id"), F.col("y").alias("other"), "weight", "shared").unionByName(kept.select(F.col("y").alias("id"), F.col("x").alias("other"), "weight", "shared"))
-    return top_k(both, ["id"], [F.desc("weight"), F.asc("other")], k).drop("place")
+    given = pairs.select(F.col(ident).alias("id"), F.col(term).alias("t")).dropna()
+    own = given.groupBy("id").agg(F.sort_array(F.collect_set(F.xxhash64("t"))).alias("terms"))
+    own = saved(own.select("id", F.xxhash64("terms").alias("high"), F.xxhash64(F.lit(1), "terms").alias("low"), "terms"), "term-sets", sweep=True)
+    n = own.count()
+    # The lowest member names a class.
+    classes = own.groupBy("high", "low").agg(F.min("id").alias("c"), F.count("*").alias("copies"), F.first("terms").alias("terms"))
+    classes = saved(classes, "term-classes", sweep=True)
+    values = classes.select("c", "copies", F.explode("terms").alias("t"))
+    df = saved(values.groupBy("t").agg(F.sum("copies").alias("df"), F.count("*").alias("classes")).withColumn("no", F.monotonically_increasing_id()), "term-counts", sweep=True)
+    # Terms by close numbers, which take half the room of hashes: the row in its part and the part, told apart by the longest part.
+    part, row = F.shiftright("no", 33), F.col("no").bitwiseAND(F.lit(2**33 - 1))
+    parts, longest = df.agg(F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(row), F.lit(0)) + 1).first()
+    number = (part * longest + row).cast("int" if parts * longest < 2**31 else "long")
+    weighted = lookup_join(values, df, ["t"], "classes", values.count()).select("c", number.alias("t"), "df", "classes")
+    gathered = weighted.groupBy("c").agg(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("common"), "t", "classes"))).alias("v"))
+    gathered = gathered.withColumn("v", F.transform("v", lambda x: F.struct(x["t"].alias("t"), (-x["common"]).alias("df"), x["classes"].alias("classes"), F.pow(F.log(F.lit(float(max(n, 1))) / -x["common"]), 2).alias("q"))))
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x["q"])
+    gathered = gathered.withColumn("norm", F.sqrt(total("v"))).withColumn("norm", F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
+    gathered = gathered.withColumn("v", F.filter("v", lambda x: (x["df"] >= 2) & (x["df"] <= max(2, int(n * cap)))))
+    alone = total("v") / (F.col("norm") * F.col("norm"))
+    # Terms of one class only tie its own members.
+    weighed = saved(gathered.select("c", "norm", alone.alias("alone"), F.filter("v", lambda x: x["classes"] >= 2).alias("v")), "weighed-terms", sweep=True)
+    within = weighed.where(F.col("alone") >= least).select(F.col("c").alias("x"), F.col("c").alias("y"), half_up(F.col("alone"), 3).alias("weight"))
+    within = saved(within.join(classes.where("copies > 1").select(F.col("c").alias("x")), "x", "left_semi"), "own-classes", sweep=True)
+    rows = weighed.select("c", "norm", "v", F.posexplode("v").alias("i", "at")).withColumn("before", F.slice("v", F.lit(1), F.col("i"))).withColumn("rest", total("before"))
+    rows = rows.where(F.sqrt(F.col("at.q") + F.col("rest")) >= (least - 1e-9) * F.col("norm"))
+    number_of = "int" if n < 2**31 else "long"
+    bucket = F.pmod(F.xxhash64("c"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    lists = saved(rows.select("c", bucket, "norm", "at.t", "at.df", F.col("rest").cast("float").alias("rest"), F.col("before.t").alias("terms"), F.transform("before.df", lambda x: x.cast(number_of)).alias("dfs")), "term-lists", sweep=True)
+    release(weighed)
+    size = lists.count()
+    best, done, step = None, 0, BUCKETS if size <= FEW_ROWS else BUCKETS // 8
+    while done < BUCKETS:
+        seen = Observation()
+        met = _best_met(lists, size, n, least, k, done, done + step, seen)
+        best = met if best is None else best.unionByName(met)
+        done, step = done + step, max(1, min(BUCKETS - done - step, step * max(FEW_ROWS, 3 * size) // max(1, seen.get["n"])))
+    release(lists)
+    first = top_k(own.select("id", "high", "low"), ["high", "low"], [F.asc("id")], k + 1).groupBy("high", "low").agg(F.collect_list("id").alias("ids"))
+    first = saved(classes.select("c", "copies", "high", "low").join(first, ["high", "low"]), "first-members", sweep=True)
+    others = best.unionByName(within).join(first.select(F.col("c").alias("y"), "ids"), "y").select("x", F.explode("ids").alias("other"), "weight")
+    kept = top_k(others, ["x"], [F.desc("weight"), F.asc("other")], k + 1)
+    kept = kept.groupBy(F.col("x").alias("c")).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("less"), "other", "weight"))).alias("kept"))
+    kept = saved(first.select("c", "copies", "high", "low").join(kept, "c").select("high", "low", "copies", "kept"), "kept-classes", sweep=True)
+    mine = lookup_join(own.select("id", "high", "low"), kept, ["high", "low"], "copies", n)
+    edges = mine.select("id", F.explode(F.slice(F.filter("kept", lambda x: x["other"] != F.col("id")), 1, k)).alias("e")).select("id", "e.other", "e.weight")
+    if not evidence:
+        return edges
+    edges = saved(edges, "edges")
+    named = given.distinct().withColumn("h", F.xxhash64("t")).join(df.where((F.col("df") >= 2) & (F.col("df") <= max(2, int(n * cap)))).select(F.col("t").alias("h"), "df"), "h").select("id", "t", "df")
+    both = edges.select("id", "other").join(named, "id").join(named.select(F.col("id").alias("other"), "t"), ["other", "t"])
+    shared = both.groupBy("id", "other").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "t"))), 1, evidence).alias("v"))
+    return edges.join(shared, ["id", "other"]).select("id", "other", "weight", F.col("v.t").alias("shared"))
 
 
 def principal_axes(df: DataFrame, ident: str, vector: str, axes: int = 3) -> DataFrame:

@@ -34,7 +34,7 @@ def vector_width(spark: SparkSession, root: str) -> DataFrame:
 def idf_overlap_edges(spark: SparkSession, root: str) -> DataFrame:
     """Repositories tied by the rare packages they share."""
     p = repo_packages(spark, root).select("repo_id", F.concat("ecosystem", F.lit(":"), "package_name").alias("package"))
-    return vectors.idf_overlap(p, "repo_id", "package").select("id", "other", "weight")
+    return vectors.idf_overlap(p, "repo_id", "package", evidence=0)
 
 
 def layout(spark: SparkSession, root: str) -> DataFrame:

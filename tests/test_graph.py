@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -141,6 +143,36 @@ def test_rare_terms_tie_more_than_common_ones(spark):
     assert got[1, 2][1] == ["rare"] and (1, 6) not in got and got[1, 3][0] == got[3, 1][0]
 
 
+def test_idf_overlap_of_equal_and_common_sets(spark, rows, monkeypatch):
+    """Ties go to the lower id, copies included, in one turn and in many; few of all pairs are written at a time."""
+    rng, sets = random.Random(8), {}
+    for i in range(400):
+        sets[i] = {"k0", "c1"} if i % 4 == 1 else {f"c{rng.randrange(9)}" for _ in range(2)} | {f"r{int(rng.paretovariate(0.4)) % 300}" for _ in range(rng.randrange(7))}
+    n, df = len(sets), Counter(t for s in sets.values() for t in s)
+    w = {t: math.log(n / c) for t, c in df.items()}
+    norm = {i: math.sqrt(sum(w[t] ** 2 for t in s)) or 1.0 for i, s in sets.items()}
+    tie = {t for t, c in df.items() if 2 <= c <= n // 4}
+    want = []
+    for i, s in sets.items():
+        scores = [(sum(w[t] ** 2 for t in s & sets[j] & tie) / (norm[i] * norm[j]), j) for j in sets if j != i]
+        want += [(i, j, -x) for x, j in sorted((-math.floor(x * 1000 + 0.5) / 1000, j) for x, j in scores if x >= 0.12)[:12]]
+    pairs, written = vectors.self_pairs, []
+
+    def counted(*args, **kw):
+        out = pairs(*args, **kw)
+        written.append(out.count())
+        return out
+
+    frame = spark.createDataFrame([(i, t) for i, s in sets.items() for t in s] + [(None, "c1"), (3, None), (1, "k0")], "id long, t string")
+    assert rows(vectors.idf_overlap(frame, "id", "t"), "id", "other", "weight") == sorted(want, key=repr)
+    monkeypatch.setattr(vectors, "FEW_ROWS", 1, raising=False)
+    monkeypatch.setattr(vectors, "BUCKETS", 8, raising=False)
+    monkeypatch.setattr(vectors, "self_pairs", counted)
+    assert rows(vectors.idf_overlap(frame, "id", "t"), "id", "other", "weight") == sorted(want, key=repr)
+    assert max(written) < 5_000
+    assert vectors.idf_overlap(frame.limit(0), "id", "t").count() == 0
+
+
 def test_axes(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, [x := rng.random() * 10, 2 * x, rng.random(), 0.1]) for i in range(50)], "id long, v array<double>")
